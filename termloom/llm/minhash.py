@@ -8,11 +8,13 @@ The plan, and why it holds when one group of copies has a third of all rows:
 2. Within each bucket of a band every class is compared with the bucket's least id alone (one candidate a row).
    Candidates pass a screen on the signatures and then a check on the full sets. The links found give components.
 3. What is left are pairs of one bucket in different components. Those are compared by signature in blocks, which
-   split a large bucket over tasks, and again checked on the full sets. So every pair that shares a band is either
-   known to be connected or was compared; none is given up for its bucket's size.
+   split a large bucket over tasks; the rows with a near partner meet again with their full sets, and each block
+   returns the links that connect its components (fewer than its rows). So every pair that shares a band is either
+   known to be connected or was compared once, in the first bucket they share; none is given up for its bucket's
+   size.
 
-With 40 bands of 5 rows a pair at similarity 0.8 shares no band with probability 1.3e-7; the screen at 0.6 of 200
-minima loses one with probability below 1e-9.
+With 40 bands of 5 rows a pair at similarity 0.8 shares no band with probability 1.3e-7; the screen at 0.66 of
+200 minima loses one with probability 1e-6.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .shingles import mix, shingle_set, signature, universal
 
 BANDS, ROWS = 40, 5
 #: The least share of equal signature bytes that goes on to the check of full sets.
-SCREEN = 0.6
+SCREEN = 0.66
 #: Rows of a bucket that one block compares with another.
 BLOCK = 256
 
@@ -89,49 +91,97 @@ def _equal_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array(near))
 
 
-def _across(percent: int):
-    """Rows (key, i, j, id, comp, n, side, sig), sorted by the first three: near pairs of different components.
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows that agree in their first `keys` columns, each as (number of its last batch, rows). Lists come as arrays."""
+    group, at, k = [], None, 0
+    for k, batch in enumerate(batches):
+        columns = []
+        for c in batch.columns:
+            if pa.types.is_list(c.type):
+                flat, ends = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+                columns.append([flat[ends[r] : ends[r + 1]].copy() for r in range(len(c))])
+            else:
+                columns.append(c.to_pylist())
+        for row in zip(*columns, strict=True):
+            if row[:keys] != at:
+                if len(group) > 1:
+                    yield k, group
+                group, at = [], row[:keys]
+            group.append(row)
+    if len(group) > 1:
+        yield k, group
+
+
+def _partners(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row k of a block (key, i, j, id, comp, n, side, sig, keys), the later rows that may be linked with it:
+    another component, sizes that allow it, signatures near, and this bucket the first that both are in.
     side: 0 in a block that meets itself, else 1 and 2 for the two blocks."""
+    comp, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    side = np.array([r[6] for r in rows])
+    sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+    keys, here = np.stack([r[8] for r in rows]), rows[0][0]
+    for k in range(len(rows) - 1):
+        ok = (comp[k + 1 :] != comp[k]) & ((side[k + 1 :] != side[k]) | (side[k] == 0))
+        ok &= 100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])
+        at = np.flatnonzero(ok) + k + 1
+        if len(at):
+            at = at[(sig[at] == sig[k]).mean(axis=1) >= SCREEN]
+        if len(at):
+            at = at[keys[k][(keys[at] == keys[k]).argmax(axis=1)] == here]
+        if len(at):
+            yield k, at
+
+
+def _with_partner(percent: int):
+    """The rows of a block that have a partner, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 3):
+            found = {x for k, at in _partners(rows, percent) for x in (k, *at.tolist())}
+            if found:
+                yield pa.RecordBatch.from_pydict({name: [rows[x][c] for x in sorted(found)] for name, c in (("key", 0), ("i", 1), ("j", 2), ("id", 3), ("comp", 4), ("side", 6))})
+
+    return run
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        comp, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        side = np.array([r[6] for r in rows])
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-        out = []
-        for k in range(len(rows) - 1):
-            ok = (comp[k + 1 :] != comp[k]) & ((side[k + 1 :] != side[k]) | (side[k] == 0))
-            ok &= 100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])
-            at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                at = at[(sig[at] == sig[k]).mean(axis=1) >= SCREEN]
-                out += [(min(rows[k][3], rows[x][3]), max(rows[k][3], rows[x][3])) for x in at]
-        return out
+
+def _linked(percent: int):
+    """Links that connect a block's components, checked on the full sets: one less than its rows at most, since what
+    is connected already isn't compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        group, at = [], None
+        for _, rows in _groups(batches, 3):
+            parent = {r[4]: r[4] for r in rows}
 
-        def done(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
 
-        for batch in batches:
             found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != at:
-                    found += pairs(group) if len(group) > 1 else []
-                    group, at = [], row[:3]
-                group.append(row)
-            yield done(found)
-        if len(group) > 1:
-            yield done(pairs(group))
+            for k, at in _partners(rows, percent):
+                for x in at.tolist():
+                    one, two = root(rows[k][4]), root(rows[x][4])
+                    if one == two:
+                        continue
+                    common = len(np.intersect1d(rows[k][9], rows[x][9], assume_unique=True))
+                    if 100 * common >= percent * (len(rows[k][9]) + len(rows[x][9]) - common):
+                        parent[one] = two
+                        found.append((rows[k][3], rows[x][3]))
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found]})
 
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents in ids."""
+    return materialise(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = materialise(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+    sets = _sets_of(ids, docs, width)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -171,16 +221,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = materialise(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), "mixed")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    marks = classes.select("id", "n", "sig", "keys")
     spread = (
         placed.join(mixed, "key", "left_semi")
-        .join(sigs, "id")
-        .withColumn("o", block)
-        .select("key", "id", "comp", "n", "sig", "o", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("key", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), "id", "comp", "n", F.expr("case when o = other then 0 when o < other then 1 else 2 end").alias("side"), "sig")
+        .select("key", "id", "comp", block.alias("o"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("key", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), "id", "comp", F.expr("case when o = other then 0 when o < other then 1 else 2 end").alias("side"))
     )
-    ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    late = materialise(ordered.mapInArrow(_across(percent), "a long, b long").distinct(), "late")
-    more = materialise(_confirmed(late, own, width, percent), "more")
+    columns = ["key", "i", "j", "id", "comp", "n", "side", "sig", "keys"]
+    ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    late = materialise(ordered.mapInArrow(_with_partner(percent), "key long, i long, j long, id long, comp long, side long"), "late")
+    sets = _sets_of(materialise(late.select("id").distinct(), "ids"), own, width)
+    again = late.join(marks, "id").join(sets, "id").select(*columns, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = materialise(again.mapInArrow(_linked(percent), "a long, b long"), "more")
     final = materialise(connected_components(links.unionByName(more)), "final")
 
     answer = materialise(
