@@ -9,12 +9,24 @@ from .chat import END, START, chat_digests, conversation_events, fold_events, re
 from .common import table
 from .exactdedup import exact_dedup
 from .minhash import near_dedup
+from .secrets import secret_digests, trained
+from .toxicity import fit, held_out, score_documents
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_digests(docs, trained(spark, docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_documents(docs, fit(docs, labels.where(~held_out(F.col("doc_id")))))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,7 +41,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(render(fold_events(conversation_events(given.unionByName(hostile)))))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_chat_format": op10_chat_format}
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_toxicity": op5_toxicity,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_chat_format": op10_chat_format,
+}
 
 SQL: dict[str, str] = {}
 
