@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .chat import END, START, chat_digests, conversation_events, fold_events, render
 from .common import table
 from .exactdedup import exact_dedup
 from .minhash import near_dedup
+from .packing import pack
 from .secrets import secret_digests, trained
 from .toxicity import fit, held_out, score_documents
 
@@ -17,6 +19,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=0)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_digests(docs, trained(spark, docs))
@@ -44,6 +58,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op7_byte_bpe": op7_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
