@@ -9,10 +9,13 @@ from .bpe import bpe_round_trip
 from .chat import END, START, chat_digests, conversation_events, fold_events, render
 from .common import table
 from .exactdedup import exact_dedup
+from .htmltext import extract_text
 from .minhash import near_dedup
 from .packing import pack
+from .search import top_k
 from .secrets import secret_digests, trained
 from .toxicity import fit, held_out, score_documents
+from .warc import captures_of, resolve_revisits
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the whole texts of the documents whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures_of(table(spark, sf_dir, "pages")))
+    fields = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit("="), e.value)), ";")
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "resolved_id", "status", fields.alias("headers"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_digests(docs, trained(spark, docs))
@@ -60,6 +79,9 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op4_bm25_search": op4_bm25_search,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op8_html_text": op8_html_text,
     "op5_toxicity": op5_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
@@ -106,3 +128,36 @@ t AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM t
 """
+
+SQL["op6_warc_revisits"] = r"""
+WITH parts AS (
+  SELECT page_id, md5(coalesce(html, '')) AS tag, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+split AS (
+  SELECT page_id, tag, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS site,
+    substr(u, length(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1) AS rest FROM parts),
+keyed AS (
+  SELECT page_id, tag, regexp_extract(rest, '^([^?]*)', 1) AS path, site,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) AS q FROM split),
+pages2 AS (
+  SELECT page_id, tag, site || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM keyed)
+SELECT v.page_id, v.canonical_url, r.page_id AS resolved_id,
+  CASE WHEN v.page_id % 5 = 0 THEN 'mismatch' WHEN v.tag = r.tag THEN 'resolved' ELSE 'mismatch' END AS status,
+  'age=' || CAST(v.page_id % 7 AS VARCHAR) || ';content-type=' || CASE WHEN v.page_id % 5 = 0 OR v.tag <> r.tag THEN 'none' ELSE 'text/html' END
+    || ';etag=' || CASE WHEN v.page_id % 5 = 0 THEN 'other' ELSE 'W/' || v.tag END AS headers
+FROM pages2 v ASOF JOIN pages2 r ON v.canonical_url = r.canonical_url AND v.page_id * 3600 + 1800 > r.page_id * 3600
+"""
+
+SQL["op4_bm25_search"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL),
+size AS (SELECT d.doc_id, coalesce(sum(tf.n), 0) AS dl FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY d.doc_id),
+stats AS (SELECT count(*) AS total, avg(dl) AS mean FROM size),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.n * ln(1 + (total - df + 0.5) / (df + 0.5)) * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * dl / mean))), 4) AS score
+  FROM tf q JOIN tf d USING (term) JOIN df USING (term) JOIN size s ON s.doc_id = d.doc_id CROSS JOIN stats
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, d.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10
+"""
