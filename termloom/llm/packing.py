@@ -145,7 +145,7 @@ def _pieces(tokenizer_path: str, size: int, end: int):
             out = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = find(text or "")
-                if new := list(set(words) - known.keys()):
+                if new := [w for w in set(words) if w not in known]:
                     if len(known) > 300_000:
                         known.clear()
                         new = list(set(words))
