@@ -2,5 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from termloom.functions.metrics import calculate_all_metrics
+from termloom.operators import cluster, graph, phrases
+from termloom.sources.tables import cluster_json
+
+from .roles import role
+
+QUERIES = {
+    "l1_iterative_clusters": lambda spark, d: cluster.iterative_clusters(role(spark, d, "serp"), low=3, high=5),
+    "l4_soft_clusters": lambda spark, d: cluster.soft_clusters(role(spark, d, "serp"), threshold=3),
+    "l18_pagerank": lambda spark, d: graph.pagerank(role(spark, d, "edges")).select("node", F.round("rank", 5).alias("rank")),
+    "c24_lsi_phrases": lambda spark, d: phrases.lsi_phrases(role(spark, d, "kw").select(F.col("cluster_id").alias("id"), F.col("keyword").alias("text"))),
+    "m_all_metrics": lambda spark, d: calculate_all_metrics(role(spark, d, "kw")).select("row_id", F.round("priority_score", 5).alias("priority_score"), F.round("kei_synergy", 5).alias("kei_synergy")),
+    "k6_cluster_json": lambda spark, d: cluster_json(role(spark, d, "kw").select("cluster_id", "row_id", "keyword")),
+}
+
+SQL = {
+    "l4_soft_clusters": """WITH RECURSIVE p AS (SELECT a.q AS q1, b.q AS q2 FROM serp a JOIN serp b ON a.u = b.u AND a.q < b.q GROUP BY a.q, b.q HAVING count(*) >= 3),
+      l AS (SELECT q1 AS a, q2 AS b FROM p UNION ALL SELECT q2, q1 FROM p), r AS (SELECT DISTINCT q, q AS seen FROM serp UNION SELECT r.q, l.b FROM r JOIN l ON l.a = r.seen)
+      SELECT q, min(seen) AS cluster FROM r GROUP BY q""",
+}
