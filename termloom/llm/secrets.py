@@ -27,7 +27,17 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: A run of these is a candidate if it is long enough.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: A candidate is a secret if its log-likelihood ratio is this large, in nats in all and a character.
-LEAST_TOTAL, LEAST_MEAN = 15.0, 0.5
+LEAST_TOTAL, LEAST_MEAN = 15.0, 0.8
+
+#: Ordinary identifiers of programs and paths, part of every labelled sample.
+IDENTIFIERS = """get_user_name setAccountConfiguration internationalization_of_services2 path/to/some/file_name_v2/index_page
+getUserProfileById createConnectionFactory application_settings_default request_handler_timeout_seconds max_retry_count
+src/main/java/com/example/service/UserRepository lib/python3/site-packages/numpy/core/__init__ docs/reference/configuration
+databaseConnectionString session_cookie_expiration updateShoppingCartItem delete_temporary_files_older_than_30_days
+this-is-a-long-article-title-about-cooking-2024 best-practices-for-software-testing image_gallery_thumbnail_small_2
+calculateTotalPriceWithTax parse_command_line_arguments validate_email_address is_feature_enabled_for_customer
+openDocumentFromTemplate convertTemperatureToFahrenheit notification_preferences_page export_report_to_spreadsheet
+Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften anticonstitutionnellement electroencefalografista""".split()
 
 
 def _positions(text: Column, pattern: str) -> Column:
@@ -70,28 +80,34 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int =
     clean = F.col("t")
     for _, pattern, _, _ in RULES:
         clean = F.regexp_replace(clean, pattern, " ")
-    ordinary = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("string")).limit(words).select("string", F.lit(False).alias("random"))
+    ordinary = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("string")).limit(words).select("string", F.lit(False).alias("random"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
     made = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") % 3 == 0, digest).when(F.col("id") % 3 == 1, base64).otherwise(F.lower(base64)).alias("string"), F.lit(True).alias("random"))
-    return ordinary.unionByName(made)
+    known = spark.range(0, 10, 1, 1).select(F.explode(F.array(*[F.lit(w) for w in IDENTIFIERS])).alias("string"), F.lit(False).alias("random"))
+    return ordinary.unionByName(known).unionByName(made)
 
 
 def train_markov(samples: DataFrame, prior: float = 0.5) -> list[float]:
     """Log ratios of the transition probabilities, random over ordinary, by class of the two characters, row by row.
 
-    First-order chains with `prior` added to every count; null strings count as empty. The table has
+    First-order chains; null strings count as empty. A row is smoothed by `prior` times the table's width transitions
+    that follow the class's own frequencies of characters, so what is rare in ordinary strings stays so after any
+    character. The table has
     (len(ALPHABET) + 1) ** 2 entries whatever the samples' size, so it may come to the driver."""
     k = len(ALPHABET) + 1
     chars = F.transform(F.split(F.coalesce("string", F.lit("")), ""), lambda c: F.when(c == "", F.lit(k)).otherwise(F.instr(F.lit(ALPHABET), c)))
     classes = samples.select("random", F.transform(F.filter(chars, lambda c: c <= k - 1), lambda c: F.pmod(c - 1, F.lit(k))).alias("c"))
     pairs = classes.where("size(c) > 1").select("random", F.explode(F.arrays_zip(F.expr("slice(c, 1, size(c) - 1)").alias("x"), F.expr("slice(c, 2, size(c) - 1)").alias("y"))).alias("p"))
     counts = {(r["random"], r["x"], r["y"]): r["count"] for r in pairs.groupBy("random", "p.x", "p.y").count().collect()}
+    kinds = (True, False)
+    seen = {kind: [sum(counts.get((kind, x, y), 0) for x in range(k)) for y in range(k)] for kind in kinds}
+    share = {kind: [(n + prior) / (sum(seen[kind]) + prior * k) for n in seen[kind]] for kind in kinds}
     out = []
     for x in range(k):
-        row = {kind: sum(counts.get((kind, x, y), 0) for y in range(k)) for kind in (True, False)}
+        row = {kind: sum(counts.get((kind, x, y), 0) for y in range(k)) for kind in kinds}
         for y in range(k):
-            random, ordinary = ((counts.get((kind, x, y), 0) + prior) / (row[kind] + prior * k) for kind in (True, False))
+            random, ordinary = ((counts.get((kind, x, y), 0) + prior * k * share[kind][y]) / (row[kind] + prior * k) for kind in kinds)
             out.append(round(math.log(random / ordinary), 6))
     return out
 
