@@ -11,9 +11,11 @@ task, plus what earlier tasks have.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .common import materialise
 
 #: Patterns kept for each leading length, those of the most frequent partners; passes of the least-squares fit.
 COLUMNS, PASSES = 16, 20
+#: Words whose ids a worker remembers, the longest that it does, and characters that are looked up at a time.
+REMEMBERED, LONGEST, RUN = 600_000, 64, 500_000
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, ...]]:
@@ -129,36 +133,58 @@ def _lookup(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.nda
     return {name: table[:, k] for k, name in enumerate(("length", "start", "first", "offset", "times"))} | {"key": (table[:, 0] << 44) | table[:, 1]}
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> tuple:
+    """A worker's tokenizer, and the ids of words that it met in any of its tasks, as little-endian 32-bit bytes."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return tokenizer, {}
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """The rows (id, text) of a batch in runs of about RUN characters, at least one row each."""
+    docs, texts, held = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        docs.append(doc)
+        texts.append(text)
+        held += len(text or "")
+        if held >= RUN:
+            yield docs, texts
+            docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def _pieces(tokenizer_path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer, known = _encoder(tokenizer_path)
         find = regex.compile(public_tokenizers.PATTERN).findall
-        known: dict[str, bytes] = {}
         seen: Counter = Counter()
         part, closing = TaskContext.get().partitionId(), end.to_bytes(4, "little")
         for batch in batches:
             out = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = find(text or "")
-                if new := [w for w in set(words) if w not in known]:
-                    if len(known) > 300_000:
-                        known.clear()
-                        new = list(set(words))
-                    for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, words)) + closing
-                n = len(ids) // 4
-                stops = range((n - 1) % size + 1, n + 1, size)
-                for piece, stop in enumerate(stops):
-                    start = max(0, stop - size) if piece else 0
-                    for column, value in zip(out, (doc, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), seen[stop - start]), strict=True):
-                        column.append(value)
-                    seen[stop - start] += 1
+            for docs, texts in _runs(batch):
+                found = [find(t or "") for t in texts]
+                new = list(set().union(*found).difference(known))
+                known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
+                for doc, words in zip(docs, found, strict=True):
+                    ids = b"".join(map(known.__getitem__, words)) + closing
+                    n = len(ids) // 4
+                    stops = range((n - 1) % size + 1, n + 1, size)
+                    for piece, stop in enumerate(stops):
+                        start = max(0, stop - size) if piece else 0
+                        for column, value in zip(out, (doc, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), seen[stop - start]), strict=True):
+                            column.append(value)
+                        seen[stop - start] += 1
+                full = len(known) > REMEMBERED
+                for w in new:
+                    if full or len(w) > LONGEST:
+                        del known[w]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)] + [pa.array([part] * len(out[0]), pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
