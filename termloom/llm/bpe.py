@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 LEAF = 256
 #: Pre-tokens whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 
 
 class Ranks:
@@ -107,13 +108,17 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.ranks.encode_piece(piece.encode("utf-8"))
         out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        if len(piece) <= LONGEST and len(self) < REMEMBERED:
             self[piece] = out
         return out
 
 
+@lru_cache(maxsize=1)
+def _pieces_of(path: str) -> _Pieces:
+    """A worker's encoder, with what it remembers from all its tasks."""
+    return _Pieces(Ranks.read(path))
+
+
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, decodes the ids, and returns doc_id, n_tokens and the digests of ids and decoded bytes.
 
@@ -125,8 +130,8 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         import numpy as np
         import regex
 
-        ranks, find = Ranks.read(ranks_path), regex.compile(pattern).findall
-        pieces, token = _Pieces(ranks), ranks.token.__getitem__
+        pieces, find = _pieces_of(ranks_path), regex.compile(pattern).findall
+        token = pieces.ranks.token.__getitem__
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
@@ -147,7 +152,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         import numpy as np
         import regex
 
-        pieces, find = _Pieces(Ranks.read(ranks_path)), regex.compile(pattern).findall
+        pieces, find = _pieces_of(ranks_path), regex.compile(pattern).findall
         for batch in batches:
             ids = [np.frombuffer(b"".join(map(pieces.__getitem__, find(t or ""))), "<i4") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
