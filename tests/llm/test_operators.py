@@ -149,7 +149,18 @@ def test_bpe_equals_tiktoken(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def test_packing_is_whole_and_tight(spark):
+def test_bpe_with_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    ranks = bpe.Ranks.read(P.path("byte_bpe_50k.tiktoken"))
+    pieces = bpe._Pieces(ranks)
+    for w in ["zzqx", " zzqy", "q" * 100, "zzqw", "zzqx", "zzqw"]:
+        assert np.frombuffer(pieces[w], "<u4").tolist() == ranks.encode_piece(w.encode())
+    assert len(pieces) == 2
+
+
+@pytest.mark.parametrize("remembered", [3, packing.REMEMBERED])
+def test_packing_is_whole_and_tight(spark, monkeypatch, remembered):
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["the", "tion", "pack", "ß"]) for _ in range(int(rng.lognormvariate(5, 1.3)))) for _ in range(150)] + [None, "", "x " * 5000]
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
