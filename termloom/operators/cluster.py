@@ -25,7 +25,8 @@ def soft_clusters(serp: DataFrame, threshold: int = 7) -> DataFrame:
 def _greedy(low: int, high: int, cap: int):
     """Clusters of one component. Thresholds fall from high to low; in each round the pairs of queries not yet placed
     are taken by overlap, then by ids. Two free queries found a cluster; a free one joins its partner's if it shares the
-    threshold with every member there, or twice the threshold with either of two. Clusters of earlier rounds stay shut."""
+    threshold with every member there. Where the members are two that share twice the threshold, it must share twice
+    the threshold with both. Clusters of earlier rounds stay shut."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         common = {}
@@ -49,8 +50,8 @@ def _greedy(low: int, high: int, cap: int):
                 inside = members[place[old]]
                 if len(inside) >= cap:
                     continue
-                shares = [common.get((new, m), 0) for m in inside]
-                if min(shares) >= threshold and (len(inside) != 2 or max(shares) >= min(2 * threshold, high)):
+                strong = len(inside) == 2 and common.get(tuple(inside), 0) >= 2 * threshold
+                if min(common.get((new, m), 0) for m in inside) >= threshold * (1 + strong):
                     inside.append(new)
                     place[new] = place[old]
         every = sorted({*pdf.q1, *pdf.q2})

@@ -34,6 +34,22 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def label_propagation(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """edges(src, dst), taken as undirected, to (node, community). All nodes take the label most frequent around them and
+    on themselves at once, of equally frequent ones the least, until nothing changes or `rounds` are over (labels may
+    swing between two states)."""
+    both = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = checkpointed(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
+    seen = checkpointed(both.unionByName(labels.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct())
+    for _ in range(rounds):
+        counted = seen.join(labels, seen.dst == labels.node).groupBy("src", "community").agg(F.count("*").alias("n"))
+        new = checkpointed(counted.groupBy(F.col("src").alias("node")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")))
+        if new.join(labels.withColumnRenamed("community", "old"), "node").where("community <> old").isEmpty():
+            return new
+        labels = new
+    return labels
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
     """edges(src, dst[, weight]), taken as undirected, to (node, rank). Stops when the ranks' summed change is small."""
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)

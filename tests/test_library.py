@@ -3,10 +3,11 @@ import pytest
 
 import __spark_entry__
 from termloom.functions.metrics import calculate_all_metrics
-from termloom.operators import cluster, graph, phrases
+from termloom.operators import cluster, graph, phrases, refine, topics
 from termloom.plans import catalogue, statements
 from termloom.plans.dialect import bind, spell, with_roles
 from termloom.sources import tables
+from termloom.streaming import status
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["flagship", "w2_implicit_dedup", "j7_shared_url_pairs", "a15_cluster_ads", "x8_normalize_url", "m17_priority_score", "c2_main_intent", "l4_soft_clusters"]
@@ -47,7 +48,57 @@ def test_components_pagerank_and_empty(spark):
 def test_iterative_clusters_partition_queries(spark):
     rows = [(q, u) for q, us in {1: range(10), 2: range(9), 3: range(8), 4: range(20, 30), 5: [99]}.items() for u in us]
     out = {r.q: r.cluster for r in cluster.iterative_clusters(spark.createDataFrame(rows, "q long, u long")).collect()}
-    assert set(out) == {1, 2, 3, 4, 5} and out[1] == out[2] == out[3] and out[4] == 4 and out[5] == 5
+    # 1 and 2 share nine URLs and are placed a round before 3 could be, which shares eight with each: their cluster is shut.
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_iterative_clusters_within_one_round(spark):
+    rows = [(q, u) for q, us in {1: range(8), 2: range(8), 3: [*range(8), 50], 11: range(100, 104), 12: range(100, 104), 13: [100, 101, 102, 110]}.items() for u in us]
+    out = {r.q: r.cluster for r in cluster.iterative_clusters(spark.createDataFrame(rows, "q long, u long"), low=2, high=8).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 11: 11, 12: 11, 13: 13}
+    weak = [r for r in rows if r[0] > 3]
+    out = {r.q: r.cluster for r in cluster.iterative_clusters(spark.createDataFrame(weak, "q long, u long"), low=2, high=2).collect()}
+    assert out == {11: 11, 12: 11, 13: 13}  # 11 and 12 share twice the threshold, 13 only three URLs with either
+
+
+def test_split_and_reattach(spark):
+    serp = spark.createDataFrame([(q, u) for q, us in {1: range(9), 2: range(9), 3: [0, 1, 2, *range(20, 26)], 4: range(20, 26), 5: [0, 1, 2, 90]}.items() for u in us], "q long, u long")
+    one = spark.createDataFrame([(q, 7) for q in range(1, 5)] + [(5, 9)], "q long, cluster long")
+    split = lambda **kw: {r.q: r.cluster for r in refine.split_clusters(serp, one, **kw).collect()}
+    assert split(cap=2, base=3, step=1, most=6) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert split(cap=1, base=3, step=1, most=3) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert split(cap=4) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    back = {r.q: r.cluster for r in refine.reattach_singletons(serp, spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "q long, cluster long"), base=3).collect()}
+    assert back == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1}
+    geo = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 3, None), (4, 3, None), (5, 5, None)], "q long, cluster long, geo string")
+    assert {r.q: r.cluster for r in refine.reattach_singletons(serp, geo, base=3).collect()}[5] == 3
+
+
+def test_label_propagation(spark):
+    edges = spark.createDataFrame([(a, b) for g in ((1, 2, 3, 4), (11, 12, 13, 14)) for a in g for b in g if a < b] + [(4, 11)], "src long, dst long")
+    out = {r.node: r.community for r in graph.label_propagation(edges).collect()}
+    assert len({out[k] for k in (1, 2, 3, 4)}) == 1 and len({out[k] for k in (11, 12, 13, 14)}) == 1 and out[1] != out[14]
+
+
+def test_topics(spark):
+    rows = [(k, "red steel pipe welded") for k in range(6)] + [(k + 10, "green garden hose long") for k in range(6)] + [(99, None)]
+    weighed = topics.tf_idf(spark.createDataFrame(rows, "id long, text string"), least_docs=2, most_share=0.8)
+    out = {r.id: r.cluster for r in topics.k_means(weighed, k=2).collect()}
+    assert len({out[k] for k in range(6)}) == 1 and len({out[k + 10] for k in range(6)}) == 1 and out[0] != out[10]
+    dense = {r.id: r.cluster for r in topics.density_clusters(weighed, eps=0.3, least=3).collect()}
+    assert {dense[k] for k in range(6)} == {0} and {dense[k + 10] for k in range(6)} == {10} and dense[99] is None
+    terms = {r.term for r in topics.top_terms(weighed, spark.createDataFrame(list(out.items()), "id long, cluster long"), k=30).collect() if r.cluster == out[0]}
+    assert "steel" in terms and "hose" not in terms
+
+
+def test_status_stream(spark, tmp_path):
+    rows = [(1, "done", "2024-01-01 10:05:00"), (1, "done", "2024-01-01 10:05:00"), (2, "done", "2024-01-01 10:50:00"), (3, "error", "2024-01-01 11:10:00"), (4, "error", "2024-01-03 00:00:00")]
+    frame = spark.createDataFrame(rows, "event_id long, status string, at string").selectExpr("event_id", "status", "cast(at as timestamp) as updated_at")
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    query = status.hourly_counts(status.without_repeats(stream)).writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(90)
+    assert {(str(r.hour), r.status, r.n) for r in spark.table("counted").collect()} >= {("2024-01-01 10:00:00", "done", 2), ("2024-01-01 11:00:00", "error", 1)}
 
 
 def test_phrases_and_metrics_of_constant_columns(spark):
