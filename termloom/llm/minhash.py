@@ -7,11 +7,12 @@ The plan, and why it holds when one group of copies has a third of all rows:
    copies never meet each other again.
 2. Within each bucket of a band every class is compared with the bucket's least id alone (one candidate a row).
    Candidates pass a screen on the signatures and then a check on the full sets. The links found give components.
-3. What is left are pairs of one bucket in different components. Those are compared by signature in blocks, which
-   split a large bucket over tasks; the rows with a near partner meet again with their full sets, and each block
-   returns the links that connect its components (fewer than its rows). So every pair that shares a band is either
-   known to be connected or was compared once, in the first bucket they share; none is given up for its bucket's
-   size.
+3. What is left are pairs of one bucket in different components, so at least one of the two is outside the bucket's
+   largest component. Only such rows visit the bucket's blocks, which split it over tasks; all others stay at home, so
+   a large group that is connected but for a few rows is not repeated. Rows meet by signature; those with a near partner
+   meet again with their full sets, and each block returns the links that connect its components (fewer than its rows).
+   So every pair that shares a band is either known to be connected or was compared once, in the first bucket they
+   share; none is given up for its bucket's size.
 
 With 40 bands of 5 rows a pair at similarity 0.8 shares no band with probability 1.3e-7; the screen at 0.66 of
 200 minima loses one with probability 1e-6.
@@ -114,14 +115,20 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int,
 
 def _partners(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row k of a block (key, i, j, id, comp, n, side, sig, keys), the later rows that may be linked with it:
-    another component, sizes that allow it, signatures near, and this bucket the first that both are in.
-    side: 0 in a block that meets itself, else 1 and 2 for the two blocks."""
+    another component, sizes that allow it, signatures near, and this bucket the first that both are in. side: 0 at
+    home and in the bucket's largest component, 1 at home and in another, 2 visiting. Rows at home meet visitors; two
+    that are both outside the largest component meet where the one with the lesser id is at home."""
     comp, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    side = np.array([r[6] for r in rows])
+    side, ids = np.array([r[6] for r in rows]), np.array([r[3] for r in rows])
     sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
     keys, here = np.stack([r[8] for r in rows]), rows[0][0]
     for k in range(len(rows) - 1):
-        ok = (comp[k + 1 :] != comp[k]) & ((side[k + 1 :] != side[k]) | (side[k] == 0))
+        other, later = side[k + 1 :], ids[k + 1 :]
+        ok = (comp[k + 1 :] != comp[k]) & ((other == 2) != (side[k] == 2))
+        if side[k] == 2:
+            ok &= (other == 0) | (later < ids[k])
+        elif side[k] == 1:
+            ok &= later > ids[k]
         ok &= 100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])
         at = np.flatnonzero(ok) + k + 1
         if len(at):
@@ -218,15 +225,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = materialise(connected_components(links), "comps")
 
     placed = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = materialise(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), "mixed")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    sized = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = materialise(sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), (F.sum("c") - F.max("c")).alias("minors")).where("minors > 0"), "mixed")
+    homes, visits = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("rows", "minors"))
+    home, visit = (F.pmod(F.xxhash64("id"), n).cast("int") for n in (homes, visits))
+    minor = F.col("comp") != F.col("major")
+    at_home = F.transform(F.sequence(F.lit(0), visits - 1), lambda j: F.struct(home.alias("i"), j.alias("j"), minor.cast("int").alias("side")))
+    visiting = F.transform(F.sequence(F.lit(0), homes - 1), lambda i: F.struct(i.alias("i"), visit.alias("j"), F.lit(2).alias("side")))
     marks = classes.select("id", "n", "sig", "keys")
-    spread = (
-        placed.join(mixed, "key", "left_semi")
-        .select("key", "id", "comp", block.alias("o"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("key", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), "id", "comp", F.expr("case when o = other then 0 when o < other then 1 else 2 end").alias("side"))
-    )
+    spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
     columns = ["key", "i", "j", "id", "comp", "n", "side", "sig", "keys"]
     ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     late = materialise(ordered.mapInArrow(_with_partner(percent), "key long, i long, j long, id long, comp long, side long"), "late")
