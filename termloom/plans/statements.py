@@ -129,7 +129,7 @@ _S["u8_list_distinct"] = "SELECT row_id, CAST(LIST_SIZE(LIST_SET(SPLIT_RX(concat
 _S["u9_select_distinct"] = "SELECT DISTINCT group_name, status FROM status_log"
 
 # --- Text and URL functions ------------------------------------------------------------------------------------------
-_S["x1_clean_text"] = "SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 400), RX'\\s+', ' ' ALL_G), RX'[^\\p{L}\\p{N}_ -]', ' ' ALL_G)) AS cleaned FROM texts"
+_S["x1_clean_text"] = "SELECT doc_id, trim(regexp_replace(regexp_replace(text, RX'[\\x09-\\x0d\\x1c-\\x20\\x85\\p{Z}]+', ' ' ALL_G), RX'[^\\p{L}\\p{N}_ -]', ' ' ALL_G)) AS cleaned FROM texts"
 _S["x2_tokenize"] = "SELECT doc_id, CAST(LIST_SIZE(LIST_FILTER(SPLIT_RX(trim(regexp_replace(text, RX'[^\\p{L}\\p{N}_-]+', ' ' ALL_G)), ' +'), FN x: length(x) > 1)) AS BIGINT) AS tokens FROM texts"
 _S["x4_normalized"] = "SELECT row_id, LIST_JOIN(LIST_SORT(SPLIT_RX(keyword, ' +')), ' ') AS normalized FROM kw"
 _S["x5_word_facts"] = "SELECT doc_id, CAST(LIST_SIZE(SPLIT_RX(trim(text), RX'\\s+')) AS BIGINT) AS words, MATCHES(text, '[a-zA-Z]') AS has_latin, MATCHES(text, '[0-9]') AS has_numbers, LIST_JOIN(regexp_extract_all(text, '[0-9]+', 0), ',') AS numbers FROM texts"

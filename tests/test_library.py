@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -112,3 +114,13 @@ def test_read_keywords(spark, tmp_path):
     (tmp_path / "k.csv").write_text("Запрос;Частота\nскуд купить;1 200\nдомофон;x\n", encoding="utf-8")
     rows = tables.read_keywords(spark, str(tmp_path / "k.csv")).collect()
     assert [(r.keyword, r.frequency_world, r.frequency_exact) for r in rows] == [("скуд купить", 1200, 0), ("домофон", 0, 0)]
+
+
+def test_clean_text_reads_whole_texts(spark):
+    """Against Python's re, whose white space also has the separators beyond ASCII."""
+    from termloom.plans.roles import role
+
+    odd = [(-1, "a" * 500 + " tail!"), (-2, "a\u00a0\u2003b\x1c\x0b\x85c"), (-3, " \u3000"), (-4, "ё_x-y, 5½ e\u0301 \U0001d4b3"), (-5, "")]
+    texts = role(spark, SF, "texts").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r.cleaned for r in catalogue.apply(spark, "x1_clean_text", texts=texts).collect()}
+    assert got == {r.doc_id: re.sub(r"[^\w\s\-]", " ", re.sub(r"\s+", " ", r.text)).strip() for r in texts.collect()}
