@@ -118,9 +118,9 @@ _S["o9_clusters_by_frequency"] = "SELECT cluster_id, CAST(sum(frequency_world) A
 _S["o10_top_15"] = "SELECT row_id, frequency_world FROM kw ORDER BY frequency_world DESC, row_id LIMIT 15"
 _S["o11_recent_updates"] = "SELECT event_id, keyword, status FROM status_log ORDER BY updated_at DESC, event_id LIMIT 5"
 _S["o12_top_domains_by_class"] = "SELECT class, domain, total_docs FROM (SELECT CASE WHEN offers > 280 THEN 'commercial' ELSE 'informational' END AS class, domain, total_docs, row_number() OVER (PARTITION BY CASE WHEN offers > 280 THEN 'commercial' ELSE 'informational' END ORDER BY total_docs DESC, domain) AS r FROM domains) x WHERE r <= 10"
-_LISTS = "SELECT q, LIST_SORT(COLLECT(u)) AS us FROM serp WHERE q <= 60 GROUP BY q"
-_S["u1_common_urls"] = f"WITH s AS ({_LISTS}) SELECT a.q AS q1, b.q AS q2, CAST(LIST_SIZE(LIST_COMMON(a.us, b.us)) AS BIGINT) AS common FROM s a JOIN s b ON a.q < b.q"
-_S["u2_jaccard"] = f"WITH s AS ({_LISTS}) SELECT a.q AS q1, b.q AS q2, round(LIST_SIZE(LIST_COMMON(a.us, b.us)) * 1e0 / (LIST_SIZE(a.us) + LIST_SIZE(b.us) - LIST_SIZE(LIST_COMMON(a.us, b.us))), 6) AS jaccard FROM s a JOIN s b ON a.q < b.q"
+# All pairs of queries with a URL in common; a pair that isn't returned has none, and similarity 0.
+_S["u1_common_urls"] = "WITH s AS (SELECT DISTINCT q, u FROM serp) SELECT a.q AS q1, b.q AS q2, count(*) AS common FROM s a JOIN s b ON a.u = b.u AND a.q < b.q GROUP BY a.q, b.q"
+_S["u2_jaccard"] = "WITH s AS (SELECT q, u, count(*) OVER (PARTITION BY q) AS n FROM (SELECT DISTINCT q, u FROM serp) x) SELECT a.q AS q1, b.q AS q2, round(count(*) * 1e0 / (min(a.n) + min(b.n) - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.u = b.u AND a.q < b.q GROUP BY a.q, b.q"
 _S["u4_difference"] = "SELECT row_id, LIST_JOIN(LIST_FILTER(SPLIT_RX(keyword, ' +'), FN x: x NOT IN ('green', 'large')), ' ') AS rest FROM kw"
 _S["u5_subset"] = "SELECT row_id, LIST_SIZE(LIST_FILTER(SPLIT_RX(keyword, ' +'), FN x: NOT LIST_HAS(SPLIT_RX('green large red steel', ' '), x))) = 0 AS subset FROM kw"
 _S["u6_union_of_lists"] = "SELECT c, count(*) AS urls FROM (SELECT DISTINCT q % 40 AS c, u FROM serp) x GROUP BY c"
@@ -197,7 +197,8 @@ _S["c13_page_type"] = "SELECT row_id, CASE WHEN main_intent = 'informational' TH
 _S["c14_brand_tokens"] = "SELECT row_id, word, CASE WHEN MATCHES(word, '^[A-Z]{2,5}$') THEN 0.9e0 WHEN MATCHES(word, '^[A-Za-z]+[0-9]+$') THEN 0.8e0 WHEN MATCHES(word, '^[a-z]{3,}$') THEN 0.7e0 ELSE 0e0 END AS confidence FROM (SELECT row_id, EXPLODE(SPLIT_RX(keyword, ' +')) AS word FROM kw) x"
 _S["c18_structure_pattern"] = "SELECT row_id, CASE WHEN MATCHES(keyword, '^(how|what|why|where)') THEN 'question' WHEN MATCHES(keyword, ' (vs|or) ') THEN 'comparison' WHEN MATCHES(keyword, 'price|buy|cost') THEN 'transactional' WHEN MATCHES(keyword, '^[a-z]+ [a-z]+$') THEN 'two_words' WHEN MATCHES(keyword, '[0-9]') THEN 'numeric' ELSE 'other' END AS pattern FROM kw"
 _S["c20_modifiers"] = "SELECT row_id, CASE WHEN r = '' THEN 'no_modifier' ELSE r END AS modifiers FROM (SELECT row_id, trim(concat(CASE WHEN MATCHES(keyword, 'red|green|blue') THEN 'color ' ELSE '' END, CASE WHEN MATCHES(keyword, 'small|large') THEN 'size ' ELSE '' END, CASE WHEN MATCHES(keyword, 'steel|copper|brass') THEN 'material' ELSE '' END)) AS r FROM kw) x"
-_S["c22_geo_compatible"] = "SELECT a.row_id AS r1, b.row_id AS r2 FROM kw a JOIN kw b ON a.cluster_id = b.cluster_id AND a.row_id < b.row_id AND a.geo IS NOT DISTINCT FROM b.geo WHERE a.row_id <= 400 AND b.row_id <= 400"
+# Two keywords are compatible if they are in one class, named by its least row_id; a keyword without a cluster is in none.
+_S["c22_geo_compatible"] = "SELECT k.row_id, k.cluster_id, k.geo, c.class FROM kw k JOIN (SELECT cluster_id, geo, min(row_id) AS class FROM kw GROUP BY cluster_id, geo) c ON c.cluster_id = k.cluster_id AND c.geo IS NOT DISTINCT FROM k.geo"
 _S["c27_related_clusters"] = f"WITH cu AS ({_CLUSTER_URLS}), p AS (SELECT a.c AS c1, b.c AS c2, count(*) AS strength FROM cu a JOIN cu b ON a.u = b.u AND a.c <> b.c GROUP BY a.c, b.c HAVING count(*) >= 3) SELECT c1, c2, strength FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY strength DESC, c2) AS r FROM p) x WHERE r <= 5"
 _S["l2_overlaps_in_clusters"] = f"WITH p AS ({_PAIRS}) SELECT q1, q2, common FROM p WHERE q1 % 40 = q2 % 40"
 _S["l7_renumber"] = "SELECT row_id, CAST(dense_rank() OVER (ORDER BY cluster_id) AS BIGINT) AS cluster_number FROM kw"

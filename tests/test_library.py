@@ -124,3 +124,21 @@ def test_clean_text_reads_whole_texts(spark):
     texts = role(spark, SF, "texts").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     got = {r.doc_id: r.cleaned for r in catalogue.apply(spark, "x1_clean_text", texts=texts).collect()}
     assert got == {r.doc_id: re.sub(r"[^\w\s\-]", " ", re.sub(r"\s+", " ", r.text)).strip() for r in texts.collect()}
+
+
+def test_overlaps_of_all_queries(spark):
+    """Ids far above 60 count, and every pair that isn't returned has nothing in common."""
+    lists = {q: {(q * k) % 23 for k in range(q % 5)} | {q % 2 + 100} for q in (1, 2, 7, 60, 61, 75, 400, 9000)} | {9001: {555}}
+    serp = spark.createDataFrame([(q, u) for q, us in lists.items() for u in us] + [(1, 101)], "q long, u long")
+    common = {(a, b): len(lists[a] & lists[b]) for a in lists for b in lists if a < b and lists[a] & lists[b]}
+    assert any(a > 60 for a, _ in common)
+    assert {(r.q1, r.q2): r.common for r in catalogue.apply(spark, "u1_common_urls", serp=serp).collect()} == common
+    assert {(r.q1, r.q2): r.jaccard for r in catalogue.apply(spark, "u2_jaccard", serp=serp).collect()} == {(a, b): pytest.approx(n / len(lists[a] | lists[b]), abs=1e-6) for (a, b), n in common.items()}
+
+
+def test_geo_classes_of_all_keywords(spark):
+    rows = [(1, 5, "x"), (2, 5, None), (401, 5, "x"), (402, 5, None), (403, 6, "x"), (404, 5, "y"), (9000, 6, "x"), (9001, None, "x"), (9002, None, "x")]
+    place = {r.row_id: r["class"] for r in catalogue.apply(spark, "c22_geo_compatible", kw=spark.createDataFrame(rows, "row_id long, cluster_id long, geo string")).collect()}
+    pairs = {(a, b) for a, c, g in rows for b, d, h in rows if a < b and c is not None and c == d and g == h}
+    assert {(a, b) for a in place for b in place if a < b and place[a] == place[b]} == pairs
+    assert set(place) == {r[0] for r in rows if r[1] is not None}
