@@ -36,7 +36,7 @@ ROLES = {
           CASE WHEN event_id % 4 = 0 THEN value END AS found, ts AS updated_at, props FROM events""",
     "domains": "SELECT concat('site', CAST(l_suppkey % 80 AS STRING)) AS domain, count(*) AS total_docs, CAST(sum(CASE WHEN l_discount > 0.06e0 THEN 1 ELSE 0 END) AS BIGINT) AS offers FROM lineitem GROUP BY l_suppkey % 80",
     "texts": "SELECT doc_id, lang, source, lower(coalesce(text, '')) AS text FROM documents",
-    "edges": "SELECT DISTINCT least(l_suppkey, l_partkey % 97 + 1) AS src, greatest(l_suppkey, l_partkey % 97 + 1) AS dst FROM lineitem WHERE l_orderkey % 5 = 0 AND l_suppkey <> l_partkey % 97 + 1",
+    "edges": "SELECT DISTINCT least(l_suppkey, l_partkey % 97 + 1) AS src, greatest(l_suppkey, l_partkey % 97 + 1) AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 97 + 1",
 }
 
 

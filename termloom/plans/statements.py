@@ -34,11 +34,14 @@ _S["j6_results_documents"] = "SELECT o.o_orderkey, l.l_linenumber, o.o_orderstat
 _PAIRS = "SELECT a.q AS q1, b.q AS q2, count(*) AS common FROM serp a JOIN serp b ON a.u = b.u AND a.q < b.q GROUP BY a.q, b.q"
 _S["j7_shared_url_pairs"] = f"{_PAIRS} HAVING count(*) >= 3"
 _S["j8_candidates_of_query"] = "SELECT b.q AS candidate, count(*) AS common FROM serp a JOIN serp b ON a.u = b.u AND a.q <> b.q WHERE a.q = 1 GROUP BY b.q HAVING count(*) >= 1"
-_CLUSTER_URLS = "SELECT DISTINCT q % 40 AS c, u FROM serp"
-_S["j9_cluster_url_links"] = f"WITH cu AS ({_CLUSTER_URLS}) SELECT a.c AS c1, b.c AS c2, count(*) AS strength FROM cu a JOIN cu b ON a.u = b.u AND a.c < b.c GROUP BY a.c, b.c HAVING count(*) >= 3"
+# Clusters of unlike sizes, about as many as the root of the queries: large ones share URLs, small ones often only words.
+_CLUSTER_URLS = "SELECT DISTINCT CAST(floor(sqrt(q)) AS BIGINT) AS c, u FROM serp"
+_CLUSTER_LINKS = f"cu AS ({_CLUSTER_URLS}), linked AS (SELECT a.c AS c1, b.c AS c2, count(*) AS strength FROM cu a JOIN cu b ON a.u = b.u AND a.c < b.c GROUP BY a.c, b.c HAVING count(*) >= 3)"
+_S["j9_cluster_url_links"] = f"WITH {_CLUSTER_LINKS} SELECT c1, c2, strength FROM linked"
 _CLUSTER_WORDS = "SELECT DISTINCT cluster_id AS c, word FROM (SELECT cluster_id, EXPLODE(SPLIT_RX(keyword, ' +')) AS word FROM kw) x WHERE word NOT IN ('green', 'large')"
-_S["j10_cluster_word_links_anti"] = f"""WITH cw AS ({_CLUSTER_WORDS}), cu AS ({_CLUSTER_URLS} WHERE u % 7 = 0), linked AS (SELECT a.c AS c1, b.c AS c2 FROM cu a JOIN cu b ON a.u = b.u AND a.c < b.c GROUP BY a.c, b.c HAVING count(*) >= 60)
-  SELECT a.c AS c1, b.c AS c2, count(*) AS words FROM cw a JOIN cw b ON a.word = b.word AND a.c < b.c WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.c1 = a.c AND l.c2 = b.c) GROUP BY a.c, b.c HAVING count(*) >= 2"""
+_KEYWORD_WORDS = _CLUSTER_WORDS.replace("cluster_id AS c", "CAST(floor(sqrt(row_id)) AS BIGINT) AS c").replace("SELECT cluster_id", "SELECT row_id")
+_WORD_LINKS = f"cw AS ({_KEYWORD_WORDS}), worded AS (SELECT a.c AS c1, b.c AS c2, count(*) AS words FROM cw a JOIN cw b ON a.word = b.word AND a.c < b.c WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.c1 = a.c AND l.c2 = b.c) GROUP BY a.c, b.c HAVING count(*) >= 2)"
+_S["j10_cluster_word_links_anti"] = f"WITH {_CLUSTER_LINKS}, {_WORD_LINKS} SELECT c1, c2, words FROM worded"
 _S["j13_dictionary_semi_join"] = "SELECT row_id, keyword FROM kw k WHERE EXISTS (SELECT 1 FROM (SELECT 'steel' AS word UNION ALL SELECT 'copper' UNION ALL SELECT 'red') v WHERE STRPOS(k.keyword, v.word) > 0)"
 _S["j14_domain_priority"] = """SELECT DISTINCT s.domain, coalesce(CASE WHEN d.offers > 30 THEN 'commercial' WHEN d.total_docs > 0 THEN 'informational' END, c.class, i.class, 'unknown') AS class,
   CASE WHEN d.domain IS NOT NULL THEN 'database' WHEN c.class IS NOT NULL THEN 'commercial_file' WHEN i.class IS NOT NULL THEN 'informational_file' ELSE 'none' END AS source

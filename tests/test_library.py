@@ -142,3 +142,34 @@ def test_geo_classes_of_all_keywords(spark):
     pairs = {(a, b) for a, c, g in rows for b, d, h in rows if a < b and c is not None and c == d and g == h}
     assert {(a, b) for a in place for b in place if a < b and place[a] == place[b]} == pairs
     assert set(place) == {r[0] for r in rows if r[1] is not None}
+
+
+def test_edges_of_all_orders(spark):
+    from termloom.plans.roles import role
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
+    ends = [(r.l_suppkey, r.l_partkey % 97 + 1) for r in lines]
+    assert {tuple(r) for r in role(spark, SF, "edges").collect()} == {(min(e), max(e)) for e in ends if e[0] != e[1]}
+
+
+def cluster_links():
+    """Queries' words and URLs, with the clusters' links by three URLs and, of other pairs, by two words."""
+    words = {1: "red steel pipe", 4: "red steel", 9: "blue steel red green", 16: "blue large", 25: "blue red pipe", 36: "green large", 49: "steel blue"}
+    urls = {1: {1, 2, 3}, 2: {4, 14}, 4: {1, 2, 14}, 9: {8, 16, 24}, 10: {1, 2}, 16: {8, 16}, 25: {24, 16, 8}, 36: {8}}
+    cu, cw = {}, {}
+    for q, us in urls.items():
+        cu.setdefault(int(q**0.5), set()).update(us)
+    for q, text in words.items():
+        cw.setdefault(int(q**0.5), set()).update(set(text.split()) - {"green", "large"})
+    pairs = [(a, b) for a in range(1, 8) for b in range(a + 1, 8)]
+    by_url = {(a, b): n for a, b in pairs if (n := len(cu.get(a, set()) & cu.get(b, set()))) >= 3}
+    by_word = {(a, b): n for a, b in pairs if (a, b) not in by_url and (n := len(cw[a] & cw[b])) >= 2}
+    assert by_url and by_word and any(len(cw[a] & cw[b]) >= 2 for a, b in by_url)
+    return words, [(q, u) for q, us in urls.items() for u in us], by_url, by_word
+
+
+def test_cluster_links_equal_brute_force(spark):
+    words, serp, by_url, by_word = cluster_links()
+    frames = {"kw": spark.createDataFrame(list(words.items()), "row_id long, keyword string"), "serp": spark.createDataFrame(serp, "q long, u long")}
+    assert {(r.c1, r.c2): r.strength for r in catalogue.apply(spark, "j9_cluster_url_links", **frames).collect()} == by_url
+    assert {(r.c1, r.c2): r.words for r in catalogue.apply(spark, "j10_cluster_word_links_anti", **frames).collect()} == by_word
