@@ -202,7 +202,10 @@ _S["c18_structure_pattern"] = "SELECT row_id, CASE WHEN MATCHES(keyword, '^(how|
 _S["c20_modifiers"] = "SELECT row_id, CASE WHEN r = '' THEN 'no_modifier' ELSE r END AS modifiers FROM (SELECT row_id, trim(concat(CASE WHEN MATCHES(keyword, 'red|green|blue') THEN 'color ' ELSE '' END, CASE WHEN MATCHES(keyword, 'small|large') THEN 'size ' ELSE '' END, CASE WHEN MATCHES(keyword, 'steel|copper|brass') THEN 'material' ELSE '' END)) AS r FROM kw) x"
 # Two keywords are compatible if they are in one class, named by its least row_id; a keyword without a cluster is in none.
 _S["c22_geo_compatible"] = "SELECT k.row_id, k.cluster_id, k.geo, c.class FROM kw k JOIN (SELECT cluster_id, geo, min(row_id) AS class FROM kw GROUP BY cluster_id, geo) c ON c.cluster_id = k.cluster_id AND c.geo IS NOT DISTINCT FROM k.geo"
-_S["c27_related_clusters"] = f"WITH cu AS ({_CLUSTER_URLS}), p AS (SELECT a.c AS c1, b.c AS c2, count(*) AS strength FROM cu a JOIN cu b ON a.u = b.u AND a.c <> b.c GROUP BY a.c, b.c HAVING count(*) >= 3) SELECT c1, c2, strength FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY strength DESC, c2) AS r FROM p) x WHERE r <= 5"
+# Of links equally strong, those by URLs come first.
+_S["c27_related_clusters"] = f"""WITH {_CLUSTER_LINKS}, {_WORD_LINKS}, links AS (SELECT c1, c2, strength, 0 AS kind FROM linked UNION ALL SELECT c1, c2, words AS strength, 1 AS kind FROM worded),
+  p AS (SELECT c1, c2, strength, kind FROM links UNION ALL SELECT c2 AS c1, c1 AS c2, strength, kind FROM links)
+  SELECT c1, c2, strength FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY strength DESC, kind, c2) AS r FROM p) x WHERE r <= 5"""
 _S["l2_overlaps_in_clusters"] = f"WITH p AS ({_PAIRS}) SELECT q1, q2, common FROM p WHERE q1 % 40 = q2 % 40"
 _S["l7_renumber"] = "SELECT row_id, CAST(dense_rank() OVER (ORDER BY cluster_id) AS BIGINT) AS cluster_number FROM kw"
 _S["l19_graph_statistics"] = "WITH n AS (SELECT src AS x FROM edges UNION SELECT dst FROM edges) SELECT (SELECT count(*) FROM n) AS nodes, count(*) AS links, round(2e0 * count(*) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1e0)), 8) AS density FROM edges"

@@ -173,3 +173,12 @@ def test_cluster_links_equal_brute_force(spark):
     frames = {"kw": spark.createDataFrame(list(words.items()), "row_id long, keyword string"), "serp": spark.createDataFrame(serp, "q long, u long")}
     assert {(r.c1, r.c2): r.strength for r in catalogue.apply(spark, "j9_cluster_url_links", **frames).collect()} == by_url
     assert {(r.c1, r.c2): r.words for r in catalogue.apply(spark, "j10_cluster_word_links_anti", **frames).collect()} == by_word
+
+
+def test_related_clusters_have_word_links(spark):
+    words, serp, by_url, by_word = cluster_links()
+    frames = {"kw": spark.createDataFrame(list(words.items()), "row_id long, keyword string"), "serp": spark.createDataFrame(serp, "q long, u long")}
+    links = [(-n, kind, *p) for kind, found in enumerate((by_url, by_word)) for (a, b), n in found.items() for p in ((a, b), (b, a))]
+    best = {(c, x[3], -x[0]) for c in range(1, 8) for x in sorted(x for x in links if x[2] == c)[:5]}
+    assert {tuple(r) for r in catalogue.apply(spark, "c27_related_clusters", **frames).collect()} == best
+    assert any((min(a, b), max(a, b)) in by_word for a, b, _ in best)
