@@ -183,6 +183,16 @@ def test_html(spark):
     assert got == {i: f"Story {i} More <{i}>" for i in range(4)} | {9: "", 10: "A &am xy z"}
 
 
+def test_html_wrappers_named_like_sidebars_are_kept():
+    text = lambda page: htmltext.block_text(htmltext.main_roots(htmltext.parse(page)), set())
+    for name in ("content with-sidebar", "no-sidebar", "sidebar right", "page has_banner", "widget"):
+        assert text(f'<body><nav>n</nav><div class="{name}"><div><article><p>Story</article></div></div><footer>f</footer>') == "Story"
+    assert text('<body><main><h1>Head</h1><div class="sidebar right"><article><p>Story</article></div></main>') == "Head Story"
+    assert text('<form id="aspnet"><div id="nav">n</div><main>Story</main></form>') == "Story"
+    assert text('<article>Story</article><div class="related"><article>teaser</article></div><aside><article>no</article></aside>') == "Story"
+    assert text('<main>Story</main><div hidden><article>gone</article></div>') == "Story"
+
+
 def test_entry_queries_exist():
     import __spark_entry__
 
