@@ -6,6 +6,8 @@ columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +25,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(score_column(F.col("text"), model) < 0.5)
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs without the ids that a deduplication drops; of rows repeated as a whole one stays."""
-    dropped = materialise(decided.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, deduplicate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that a deduplication drops. Where ids are repeated or null, it decides on rows that are
+    numbered by id (null last) and text instead; of rows with the same id and text one stays."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        dropped = materialise(deduplicate(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    one = materialise(docs.groupBy("doc_id", digest.alias("digest")).agg(F.max(F.struct(*docs.columns)).alias("row")), "rows")
+    ordered = one.select("doc_id", "digest").orderBy(F.col("doc_id").asc_nulls_last(), "digest")
+    numbered = docs.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), "id long, other string, number long")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("other"))
+    rows = materialise(one.join(numbered, same).select("number", "row"), "numbered")
+    kept = materialise(deduplicate(rows.select(F.col("number").alias("doc_id"), "row.text")).where("kept").select(F.col("doc_id").alias("number")), "kept")
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs))
+    return _without(docs, exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near-duplicates: five words, similarity 0.8."""
-    return _without(docs, near_dedup(docs, width=5, percent=80))
+    return _without(docs, lambda rows: near_dedup(rows, width=5, percent=80))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,3 +198,35 @@ def test_entry_queries_exist():
 
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | {f"op{n}" for n in range(1, 11)} <= names | {n.split("_")[0] for n in names}
+
+
+def test_pipeline_deduplicates_repeated_and_null_ids(spark):
+    """Both deduplications against brute force, row by row."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(60)] for _ in range(5)]
+    close = lambda b: " ".join([*b[:30], "x" + str(rng.randrange(99)), *b[31:]])
+    rows = [(7, " ".join(base[0])), (7, " ".join(base[0])), (7, " ".join(base[1])), (3, " ".join(base[1])), (None, " ".join(base[0])), (None, " ".join(base[2])), (None, " ".join(base[2])), (4, close(base[2])), (4, close(base[3])), (4, " ".join(base[4])), (2, close(base[4])), (9, "  ".join(base[3])), (5, None), (6, ""), (None, close(base[1]))]
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    left = {}
+    for r in sorted(rows, key=order):
+        bare = re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")
+        if bare not in left or len(r[1] or "") > len(left[bare][1] or ""):
+            left[bare] = r
+    docs = frame(spark, rows)
+    exact = corpus_pipeline.exact(spark, docs, "")
+    assert exact.columns == docs.columns
+    text = lambda found: sorted([(r[0], r[1] or "") for r in found], key=order)
+    assert text(exact.select("doc_id", "text").collect()) == text(left.values())
+
+    distinct = sorted({(r[0], r[1] or "") for r in rows}, key=order)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words(t) for _, t in distinct)]
+    part = list(range(len(distinct)))
+    for a in range(len(part)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((part[a], part[b]))
+                part = [x if v == y else v for v in part]
+    best = [distinct[k] for k in sorted(set(part))]
+    assert text(corpus_pipeline.near(spark, docs, "").select("doc_id", "text").collect()) == text(best) != text(rows)
