@@ -230,3 +230,34 @@ def test_pipeline_deduplicates_repeated_and_null_ids(spark):
                 part = [x if v == y else v for v in part]
     best = [distinct[k] for k in sorted(set(part))]
     assert text(corpus_pipeline.near(spark, docs, "").select("doc_id", "text").collect()) == text(best) != text(rows)
+
+
+def test_revisits_equal_brute_force(spark):
+    """Revisits of other captures of the same URL, before any response, in later buckets and without validators."""
+    from termloom.llm import warc
+
+    rng = random.Random(11)
+    shapes = ["http://H{}.x/a?b=1&a=2#f", "HTTP://h{}.X:80/a?a=2&utm_source=z&b=1", "http://h{}.x/a?a=2&b=1&gclid=7"]
+    tag = lambda: rng.choice([None, "t1", "t2", "W/t1", "W/t2"])
+    rows = []
+    for k in range(240):
+        headers = {"etag": str(k), "content-type": f"c{k}", **({"age": str(k)} if k % 2 else {"via": "v"})}
+        ts = None if k % 40 == 0 else rng.randrange(0, 5 * 86_400, 43_200)
+        rows.append((k, rng.choice(shapes).format(rng.randrange(9)), ts, "revisit" if rng.random() < 0.5 else "response", tag(), rng.choice([None, "m1", "m2"]), headers if k % 13 else None))
+    host = lambda url: re.search(r"(?i)h(\d)", url)[1]
+    at = lambda r: (-1 if r[2] is None else r[2], r[0])
+    bare = lambda t: t and t.removeprefix("W/")
+    expected = {}
+    for r in (r for r in rows if r[3] == "revisit"):
+        base = max((x for x in rows if x[3] == "response" and host(x[1].split("//")[1]) == host(r[1].split("//")[1]) and at(x) < at(r)), key=at, default=None)
+        own, status = r[6] or {}, "unresolved"
+        if base:
+            pair = next(((bare(a), bare(b)) for a, b in ((r[4], base[4]), (r[5], base[5])) if a and b), None)
+            status = "unverified" if pair is None else "resolved" if pair[0] == pair[1] else "mismatch"
+        if status in ("resolved", "unverified"):
+            own = (base[6] or {}) | {k: v for k, v in own.items() if k not in warc.KEPT_FIELDS}
+        expected[r[0]] = (f"http://h{host(r[1].split('//')[1])}.x/a?a=2&b=1", base and base[0], status, own)
+    records = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>")
+    got = {r.record_id: (r.canonical_url, r.resolved_id, r.status, r.headers) for r in warc.resolve_revisits(records).collect()}
+    assert got == expected
+    assert {v[2] for v in expected.values()} == {"resolved", "mismatch", "unverified", "unresolved"}
