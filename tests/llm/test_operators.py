@@ -261,3 +261,12 @@ def test_revisits_equal_brute_force(spark):
     got = {r.record_id: (r.canonical_url, r.resolved_id, r.status, r.headers) for r in warc.resolve_revisits(records).collect()}
     assert got == expected
     assert {v[2] for v in expected.values()} == {"resolved", "mismatch", "unverified", "unresolved"}
+
+
+def test_digest_index_of_several_runs(spark):
+    index = exactdedup.DigestIndex(spark)
+    runs = [[(b"a", 5, 3), (b"b", 2, 1)], [(b"a", 4, 3), (b"c", 9, 0)], [(b"a", 1, 2)]]
+    for rows in runs:
+        index.flush(spark.createDataFrame([(bytearray(d), i, n) for d, i, n in rows], "digest binary, doc_id long, points long"))
+    assert {(bytes(r.digest), r.doc_id, r.points) for r in index.lookup([b"a", b"z"]).collect()} == {(b"a", 5, 3), (b"a", 4, 3), (b"a", 1, 2)}
+    assert {(bytes(r.digest), r.keep_id, r.group_size) for r in index.compact().collect()} == {(b"a", 4, 3), (b"b", 2, 1), (b"c", 9, 1)}
