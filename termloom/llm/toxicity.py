@@ -66,7 +66,7 @@ class _Weights(dict):
         self.model = model
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = w = self.model.weight(token)
         return w

@@ -49,6 +49,32 @@ def test_near_dedup_equals_brute_force(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(sets[i]), part[i]) for i in sets}
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 90])
+def test_near_dedup_recall_at_other_thresholds(spark, percent):
+    """300 pairs at or just above the threshold: at least 99 of 100 are found, and none below it."""
+    rng = random.Random(percent)
+    rows, linked, apart = [], set(), set()
+    for k in range(300):
+        base = [f"{k}x{i}" for i in range(200)]
+        other = list(base)
+        j = percent / 100
+        for i in range(round(200 * (1 - 2 * j / (1 + j))) + rng.randrange(-2, 2)):
+            other[i] = f"{k}y{i}"
+        a, b = set(base), set(other)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        (linked if 100 * len(a & b) >= percent * len(a | b) else apart).add(2 * k)
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(frame(spark, rows), width=1, percent=percent).collect()}
+    assert len(linked) > 100 and len(apart) > 50
+    assert sum(got[k + 1] == k for k in linked) >= 0.99 * len(linked) and all(got[k + 1] == k + 1 for k in apart)
+
+
+def test_near_dedup_refuses_thresholds_without_a_banding(spark):
+    assert minhash.banding(80)[:2] == (40, 5)
+    for percent in (0, 5, 101):
+        with pytest.raises(ValueError):
+            minhash.near_dedup(frame(spark, [(1, "a")]), percent=percent)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -163,6 +189,7 @@ def test_packing_is_whole_and_tight(spark, monkeypatch, remembered):
     monkeypatch.setattr(packing, "REMEMBERED", remembered)
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["the", "tion", "pack", "ß"]) for _ in range(int(rng.lognormvariate(5, 1.3)))) for _ in range(150)] + [None, "", "x " * 5000]
+    texts += ["the<|endoftext|> end  <|endoftext|>\n", "a   b \n c\t\td ", " ", "   ", "y" * 9000]
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     got = packing.pack(frame(spark, enumerate(texts)), P.path("byte_bpe_50k.json"), size=512).toPandas()
     for i, t in enumerate(texts):
@@ -176,6 +203,23 @@ def test_packing_is_whole_and_tight(spark, monkeypatch, remembered):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 512) * 1.05 + 1
 
 
+def test_encoder_equals_the_library():
+    """Cuts at spaces change nothing: white space of all kinds, special strings, words met before and not."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    parts = ["a", "foo", " ", " ", "  ", "\n", "\t", "é", "'s", "ing", "12", "...", "\u3000", "日本", "𝒳", "\x1c", "\x85", "<|endoftext|>", "\r\n", "x" * 300, "\u200b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)] + [" word" * 40, "", "a "]
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for as_text in (False, True):
+        tokenizer.encode_special_tokens = as_text
+        encoder = packing.Encoder(P.path("byte_bpe_50k.json"), as_text)
+        for some in (texts, texts[:500], [""], []):
+            order, ids, ends = encoder.encode(pa.array(some, pa.string()))
+            got = dict(zip(order.tolist(), (x.tolist() for x in np.split(ids, ends)), strict=False))
+            assert got == {k: tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(some)}
+
+
 def test_html(spark):
     pages = [(i, f"http://H.x/{i}", f"<body><div class=top>Welcome</div><div><p>Story {i}<p>More &lt;{i}&gt;</div><aside>no</aside></body>") for i in range(4)]
     pages += [(9, None, None), (10, "http://one.x/", '<article><header><h1>A &am</h1></header><p>x<b>y</b><br>z<div class="comments">no</div><script>"</p>"</script></article><footer>f</footer>')]
