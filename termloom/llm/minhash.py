@@ -14,13 +14,16 @@ The plan, and why it holds when one group of copies has a third of all rows:
    So every pair that shares a band is either known to be connected or was compared once, in the first bucket they
    share; none is given up for its bucket's size.
 
-With 40 bands of 5 rows a pair at similarity 0.8 shares no band with probability 1.3e-7; the screen at 0.66 of
-200 minima loses one with probability 1e-6.
+Bands and screen follow from the threshold (see `banding`): a pair at the threshold shares no band with probability
+LOSS at most and fails the screen with about that probability; at 0.8 it is 40 bands of 5 rows (1.3e-7) and a screen
+of 0.66 of the 200 minima.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +34,45 @@ from .common import materialise
 from .components import connected_components
 from .shingles import mix, shingle_set, signature, universal
 
-BANDS, ROWS = 40, 5
-#: The least share of equal signature bytes that goes on to the check of full sets.
-SCREEN = 0.66
-#: Rows of a bucket that one block compares with another.
-BLOCK = 256
+MINIMA, LOSS, MOST_ROWS = 200, 1e-6, 20
+#: Rows of a bucket that one block compares with another; partners of one hub whose sets one group checks.
+BLOCK, CHECKED = 256, 1024
 
 
-def _sketches(width: int):
+def banding(percent: int) -> tuple[int, int, float]:
+    """Bands, rows a band, and the least share of equal signature bytes, for links of percent / 100: the most rows with
+    which a pair at the threshold shares none of the bands with probability LOSS at most; the screen is 4.95 standard
+    deviations below the threshold. Raises ValueError below 8 percent, where MINIMA are too few, and above 100."""
+    j = percent / 100
+    fit = [r for r in range(1, MOST_ROWS + 1) if j <= 1 and (1 - j**r) ** (MINIMA // r) <= LOSS]
+    if not fit:
+        raise ValueError(f"no banding of {MINIMA} minima finds pairs of {percent} percent")
+    return MINIMA // fit[-1], fit[-1], j - 4.95 * math.sqrt(j * (1 - j) / MINIMA)
+
+
+def _sketches(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = universal(BANDS * ROWS)
-        salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        a, b = universal(MINIMA)
+        salts = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
-            size, low, high, sig, keys = [], [], [], [], []
+            size, digest, sig, keys = [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 s = shingle_set(text.as_py(), width)
                 size.append(len(s))
-                low.append(int(s.sum(dtype=np.uint64)))
-                high.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
+                digest.append(blake2b(s.tobytes(), digest_size=16).digest())
                 if not len(s):
                     sig.append(b"")
                     keys.append([])
                     continue
                 minima = signature(s, a, b)
                 sig.append(minima.astype(np.uint8).tobytes())
-                band = salts.copy()
-                for k in range(ROWS):
-                    band = mix(band ^ minima[k::ROWS].astype(np.uint64))
+                band, table = salts.copy(), minima[: bands * rows].reshape(bands, rows).astype(np.uint64)
+                for k in range(rows):
+                    band = mix(band ^ table[:, k])
                 keys.append(band.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(size, pa.int64()),
-                    pa.array(np.array(low, np.uint64).view(np.int64)),
-                    pa.array(np.array(high, np.uint64).view(np.int64)),
-                    pa.array(sig, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                names=["id", "n", "low", "high", "sig", "keys"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "n", "digest", "sig", "keys"],
             )
 
     return run
@@ -83,13 +87,17 @@ def _sets(width: int):
     return run
 
 
-def _equal_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, sig_a, sig_b): those whose signatures agree in SCREEN of their bytes."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            near = (x == y).mean(axis=1) >= SCREEN
-            yield batch.select([0, 1]).filter(pa.array(near))
+def _equal_bytes(screen: float):
+    """Rows (a, b, sig_a, sig_b): those whose signatures agree in `screen` of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                near = (x == y).mean(axis=1) >= screen
+                yield batch.select([0, 1]).filter(pa.array(near))
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int, list[tuple]]]:
@@ -113,7 +121,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int,
         yield k, group
 
 
-def _partners(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _partners(rows: list[tuple], percent: int, screen: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each row k of a block (key, i, j, id, comp, n, side, sig, keys), the later rows that may be linked with it:
     another component, sizes that allow it, signatures near, and this bucket the first that both are in. side: 0 at
     home and in the bucket's largest component, 1 at home and in another, 2 visiting. Rows at home meet visitors; two
@@ -132,26 +140,26 @@ def _partners(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray
         ok &= 100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])
         at = np.flatnonzero(ok) + k + 1
         if len(at):
-            at = at[(sig[at] == sig[k]).mean(axis=1) >= SCREEN]
+            at = at[(sig[at] == sig[k]).mean(axis=1) >= screen]
         if len(at):
             at = at[keys[k][(keys[at] == keys[k]).argmax(axis=1)] == here]
         if len(at):
             yield k, at
 
 
-def _with_partner(percent: int):
+def _with_partner(percent: int, screen: float):
     """The rows of a block that have a partner, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 3):
-            found = {x for k, at in _partners(rows, percent) for x in (k, *at.tolist())}
+            found = {x for k, at in _partners(rows, percent, screen) for x in (k, *at.tolist())}
             if found:
                 yield pa.RecordBatch.from_pydict({name: [rows[x][c] for x in sorted(found)] for name, c in (("key", 0), ("i", 1), ("j", 2), ("id", 3), ("comp", 4), ("side", 6))})
 
     return run
 
 
-def _linked(percent: int):
+def _linked(percent: int, screen: float):
     """Links that connect a block's components, checked on the full sets: one less than its rows at most, since what
     is connected already isn't compared."""
 
@@ -165,7 +173,7 @@ def _linked(percent: int):
                 return x
 
             found = []
-            for k, at in _partners(rows, percent):
+            for k, at in _partners(rows, percent, screen):
                 for x in at.tolist():
                     one, two = root(rows[k][4]), root(rows[x][4])
                     if one == two:
@@ -185,14 +193,37 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return materialise(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
 
 
+def _checked(percent: int):
+    """Rows (a, part, kind, id, shingles) in order: the set of hub a (kind 0), then those of its partners, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, None
+        for batch in batches:
+            found, (flat, ends) = [], (lambda c: (c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()))(batch.column(4))
+            for r, (a, part, kind, other) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                own = flat[ends[r] : ends[r + 1]]
+                if kind == 0:
+                    hub, held = (a, part), own.copy()
+                elif hub == (a, part):
+                    common = len(np.intersect1d(held, own, assume_unique=True))
+                    if 100 * common >= percent * (len(held) + len(own) - common):
+                        found.append((a, other))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. A hub's set is sent once for every
+    CHECKED of its partners, and its partners are spread over as many groups."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = _sets_of(ids, docs, width)
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHECKED).alias("parts"))
+    placed = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    hubs = placed.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("id"), "shingles")
+    partners = placed.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(1).alias("kind"), F.col("b").alias("id"), "shingles")
+    met = hubs.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+    return met.mapInArrow(_checked(percent), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -203,13 +234,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingle. Null and empty texts, and texts of white space, have no shingle and are linked with nothing. Repeated
     rows are returned as often as they come, all in the component of their id (where one id has several texts, the
     set of any one of them may stand for it). Rows without an id are linked with nothing and kept, with a null
-    component_id. Empty tables give empty results. Further columns are ignored.
+    component_id. Empty tables give empty results. Further columns are ignored. Equal sets are known by a 128-bit BLAKE2b
+    digest of the whole sorted set; links between different sets are checked on the full sets.
     """
+    bands, band_rows, screen = banding(percent)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = materialise(own.mapInArrow(_sketches(width), "id long, n long, low long, high long, sig binary, keys array<long>"), "sketch")
+    sketch = materialise(own.mapInArrow(_sketches(width, bands, band_rows), "id long, n long, digest binary, sig binary, keys array<long>"), "sketch")
     known = sketch.where("id is not null and n > 0")
     classes = materialise(
-        known.groupBy("n", "low", "high").agg(F.min_by(F.struct("sig", "keys"), "id").alias("s"), F.min("id").alias("id")).select("n", "low", "high", "id", "s.sig", "s.keys"),
+        known.groupBy("n", "digest").agg(F.min_by(F.struct("sig", "keys"), "id").alias("s"), F.min("id").alias("id")).select("n", "digest", "id", "s.sig", "s.keys"),
         "classes",
     )
     rows = classes.select("id", F.explode("keys").alias("key"))
@@ -220,7 +253,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     one, two = (sigs.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
     sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    near = stars.join(two, "b").join(one, "a").where(sized).select("a", "b", "sig_a", "sig_b").mapInArrow(_equal_bytes, "a long, b long")
+    near = stars.join(two, "b").join(one, "a").where(sized).select("a", "b", "sig_a", "sig_b").mapInArrow(_equal_bytes(screen), "a long, b long")
     links = materialise(_confirmed(materialise(near, "near"), own, width, percent), "links")
     comps = materialise(connected_components(links), "comps")
 
@@ -236,16 +269,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
     columns = ["key", "i", "j", "id", "comp", "n", "side", "sig", "keys"]
     ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    late = materialise(ordered.mapInArrow(_with_partner(percent), "key long, i long, j long, id long, comp long, side long"), "late")
+    late = materialise(ordered.mapInArrow(_with_partner(percent, screen), "key long, i long, j long, id long, comp long, side long"), "late")
     sets = _sets_of(materialise(late.select("id").distinct(), "ids"), own, width)
     again = late.join(marks, "id").join(sets, "id").select(*columns, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = materialise(again.mapInArrow(_linked(percent), "a long, b long"), "more")
+    more = materialise(again.mapInArrow(_linked(percent, screen), "a long, b long"), "more")
     final = materialise(connected_components(links.unionByName(more)), "final")
 
     answer = materialise(
-        classes.select("n", "low", "high", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "low", "high", F.coalesce("component", "id").alias("component_id")),
+        classes.select("n", "digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component_id")),
         "answer",
     )
-    out = sketch.select("id", "n", "low", "high").join(answer, ["n", "low", "high"], "left")
+    out = sketch.select("id", "n", "digest").join(answer, ["n", "digest"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
