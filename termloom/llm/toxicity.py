@@ -128,7 +128,9 @@ def score_column(text: Column, model: Model) -> Column:
 
 
 def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every significant toxic passage: doc_id, start and stop (code points), score, e_value."""
+    """Every significant toxic passage: doc_id, start and stop (code points of the text with letters lower-cased), score,
+    e_value. Null and empty texts have none, an empty table gives no row, repeated rows and those without an id are read
+    like others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(model)
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = materialise(chosen.withColumn("toxic", (F.col("toxic") > 0).cast("int")), "chosen")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Copies count once, else the words of a much-copied toxic text would seem toxic. At most `sample` rows of two numbers: the broadcast is bounded by that parameter.
-    train = materialise(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "train")
+    train = materialise(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "train")
     counts = train.mapInArrow(_word_counts, "word string, d0 long, d1 long, t0 long, t1 long")
     counts = materialise(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("d0", "d1", "t0", "t1")]), "words")
     sizes = counts.where("word = ''").first()
@@ -208,17 +210,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stems = stems.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("d0", "d1", "t0", "t1")])
     prefixes = {r["word"]: r for r in _significant(stems, sizes).orderBy(F.desc("z"), "word").limit(TERMS).collect()}
     said = counts.agg(F.sum("t0"), F.sum("t1")).first()
-    share = [min(0.9, sum(r[f"t{k}"] for r in words.values()) / max(1, said[k])) for k in (0, 1)]
+    begun = _begun(rare, list(prefixes))
+    share = [min(0.9, (sum(r[f"t{k}"] for r in words.values()) + sum(r[f"t{k}"] for r in begun.values())) / max(1, said[k])) for k in (0, 1)]
     other = min(-0.005, math.log((1 - share[1]) / (1 - share[0])))
     model = Model({w: min(8.0, r["odds"]) for w, r in words.items()}, {w: min(6.0, r["odds"]) for w, r in prefixes.items()}, other)
-    model = Model(model.words, model.prefixes, other, _decay(model, words, said[0]))
+    model = Model(model.words, model.prefixes, other, _decay(model, words, begun, said[0]))
     return _calibrated(model, train)
 
 
-def _decay(model: Model, words: dict, clean_tokens: int) -> float:
-    """lambda > 0 with a mean of exp(lambda s) of 1 over clean tokens, by bisection."""
+def _begun(rare: DataFrame, prefixes: list[str]) -> dict:
+    """Tokens by class (t0, t1) that score by each prefix: those of words that aren't terms, by their longest prefix of the
+    model. There are TERMS prefixes at most, so the broadcast and the result are bounded."""
+    if not prefixes:
+        return {}
+    known = rare.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    each = rare.select("word", "t0", "t1", F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in _PREFIXES])).alias("prefix"))
+    longest = each.join(F.broadcast(known), "prefix").groupBy("word", "t0", "t1").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    return {r["prefix"]: r for r in longest.groupBy("prefix").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).collect()}
+
+
+def _decay(model: Model, words: dict, begun: dict, clean_tokens: int) -> float:
+    """lambda > 0 with a mean of exp(lambda s) of 1 over clean tokens, by bisection; tokens that score by a word of the
+    model, by one of its prefixes, or not at all."""
     p = [((r["t0"] + 0.5) / (clean_tokens + 1), model.words[w]) for w, r in words.items()]
-    rest = 1 - sum(q for q, _ in p)
+    p += [((r["t0"] + 0.5) / (clean_tokens + 1), model.prefixes[w]) for w, r in begun.items()]
+    rest = max(0.0, 1 - sum(q for q, _ in p))
     mean = lambda x: sum(q * math.exp(x * s) for q, s in p) + rest * math.exp(x * model.other)
     low, high = 1e-3, 1e-3
     while mean(high) < 1 and high < 8:
