@@ -19,8 +19,10 @@ KEPT_FIELDS = ("content-encoding", "content-length", "content-range", "content-t
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, fragment or tracking parameter, sorted parameters, / as the empty path."""
-    bare = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"(?s)#.*$", "")
+    """Scheme and host in lower case, no default port, fragment or tracking parameter, sorted parameters, / as the empty
+    path. Null for null, empty and blank URLs."""
+    trimmed = F.trim(url)
+    bare = F.regexp_replace(F.when(trimmed != "", trimmed), r"(?s)#.*$", "")
     site = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
     rest = F.substring(bare, F.char_length(site) + 1, F.char_length(bare))
     site = F.regexp_replace(F.regexp_replace(site, r"^(http://[^/?]*):80$", "$1"), r"^(https://[^/?]*):443$", "$1")
@@ -37,13 +39,16 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     `unresolved` without an earlier response; `resolved` if the first validator that both sides have agrees (entity tag
     without its weakness mark, then last_modified); `mismatch` if it differs, `unverified` if they share none. Headers
     are the response's, replaced by the revisit's except for KEPT_FIELDS; unless status is resolved or unverified they
-    are the revisit's own. Null kinds are left out, null times come first, null headers count as none.
+    are the revisit's own. Null kinds are left out, null times come first, null headers count as none. A revisit
+    without a URL is `unresolved`: records without one aren't captures of the same page. Repeated rows are returned as
+    often as they come, an empty table gives no row, and further columns are ignored.
     """
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.coalesce("ts", F.lit(-1)).cast("long").alias("ts"), "kind",
         F.regexp_replace("etag", "^W/", "").alias("etag"), "last_modified", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
     )
-    rows = materialise(rows.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds)), "captures")
+    every = materialise(rows.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds)), "captures")
+    rows, adrift = every.where("canonical_url is not null"), every.where("canonical_url is null and kind = 'revisit'")
     response = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "headers"))
     ends = rows.where("kind = 'response'").groupBy("canonical_url", "bucket").agg(F.max_by(F.struct("record_id", "etag", "last_modified", "headers"), F.struct("ts", "record_id")).alias("last"))
     buckets = rows.select("canonical_url", "bucket").distinct().join(ends, ["canonical_url", "bucket"], "left")
@@ -59,7 +64,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     newer = F.map_filter("headers", lambda k, v: ~k.isin(*KEPT_FIELDS))
     older = F.map_filter(F.col("base.headers"), lambda k, v: ~F.array_contains(F.map_keys(newer), k))
     merged = F.when(F.col("status").isin("resolved", "unverified"), F.map_concat(older, newer)).otherwise(F.col("headers"))
-    return found.withColumn("status", status).select("record_id", "canonical_url", F.col("base.record_id").alias("resolved_id"), "status", merged.alias("headers"))
+    out = found.withColumn("status", status).select("record_id", "canonical_url", F.col("base.record_id").alias("resolved_id"), "status", merged.alias("headers"))
+    return out.unionByName(adrift.select("record_id", "canonical_url", F.lit(None).cast(out.schema["resolved_id"].dataType).alias("resolved_id"), F.lit("unresolved").alias("status"), "headers"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

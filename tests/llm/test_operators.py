@@ -285,6 +285,16 @@ def test_revisits_equal_brute_force(spark):
     assert {v[2] for v in expected.values()} == {"resolved", "mismatch", "unverified", "unresolved"}
 
 
+def test_revisits_without_a_url_stay_unresolved(spark):
+    from termloom.llm import warc
+
+    schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, bucket int"
+    rows = [(k, u, k, kind, "t", None, {"a": "b"}, 3) for k, (u, kind) in enumerate([(None, "response"), (None, "revisit"), ("", "response"), (" ", "revisit"), ("http://h/", "revisit"), ("http://h/", None)])]
+    got = {r.record_id: (r.canonical_url, r.resolved_id, r.status, r.headers) for r in warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (None, None, "unresolved", {"a": "b"}), 3: (None, None, "unresolved", {"a": "b"}), 4: ("http://h/", None, "unresolved", {"a": "b"})}
+    assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_digest_index_of_several_runs(spark):
     index = exactdedup.DigestIndex(spark)
     runs = [[(b"a", 5, 3), (b"b", 2, 1)], [(b"a", 4, 3), (b"c", 9, 0)], [(b"a", 1, 2)]]
