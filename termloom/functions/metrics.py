@@ -23,6 +23,7 @@ METRICS = {
     "commercial_value": "w * (1 + cs / 10) * (1 + 0.5e0 * geo) * (1 + 0.3e0 * brand)",
     "traffic_potential": "w * (1 / (difficulty / 100 + 1)) * 0.3e0 * (100 - difficulty) / 100",
 }
+# Fixed values above and below: the formulas and defaults of the metrics.
 #: Metrics made of those above.
 DERIVED = {
     "kei_potential_revenue": "kei_potential_traffic * kei_cost_per_visit",
@@ -38,11 +39,17 @@ def normalised(column: str) -> str:
     return f"CASE WHEN hi_{column} = lo_{column} THEN 50e0 ELSE ({column} - lo_{column}) / (hi_{column} - lo_{column}) * 100 END"
 
 
+def with_defaults(df: DataFrame, names: tuple[str, ...] = tuple(DEFAULTS)) -> DataFrame:
+    """df with the columns of `names` that it hasn't got, by DEFAULTS; those it has stay as they are."""
+    for name in names:
+        if name not in df.columns:
+            df = df.withColumn(name, F.expr(DEFAULTS[name]))
+    return df
+
+
 def calculate_all_metrics(df: DataFrame) -> DataFrame:
     """df with all metrics. Extremes come from one aggregate row joined to all, never from a window over everything."""
-    for name, default in DEFAULTS.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.expr(default))
+    df = with_defaults(df)
     df = df.select("*", *[F.expr(x).alias(n) for n, x in METRICS.items()])
     df = df.select("*", *[F.expr(x).alias(n) for n, x in DERIVED.items()])
     scaled = ("w", "cs", "kei_effectiveness")

@@ -60,11 +60,21 @@ def _greedy(low: int, high: int, cap: int):
     return run
 
 
-def iterative_clusters(serp: DataFrame, low: int = 3, high: int = 10, cap: int = 100) -> DataFrame:
+def iterative_clusters(serp: DataFrame, low: int = 3, high: int = 10, cap: int = 100, places: DataFrame | None = None) -> DataFrame:
     """(q, cluster): greedy full-link clusters with falling thresholds. Every test is on pairs within one connected part
-    at the lowest threshold, so parts are clustered apart; queries without a partner are their own clusters."""
-    pairs = checkpointed(shared_url_pairs(serp, low))
+    at the lowest threshold, so parts are clustered apart; queries without a partner are their own clusters.
+
+    places(q, geo) keeps queries of unlike places apart (equal places, or none on both sides, go together): as that is an
+    equality, dropping such pairs beforehand is exact. Queries of places without a result page are in cluster -1."""
+    pairs = shared_url_pairs(serp, low)
+    if places is not None:
+        end = lambda k: places.select(F.col("q").alias(f"q{k}"), F.col("geo").alias(f"geo{k}"))
+        pairs = pairs.join(end(1), "q1").join(end(2), "q2").where(F.col("geo1").eqNullSafe(F.col("geo2"))).select("q1", "q2", "common")
+    pairs = checkpointed(pairs)
     parts = components(pairs.select(F.col("q1").alias("src"), F.col("q2").alias("dst")))
     grouped = pairs.join(parts, pairs.q1 == parts.node).select("component", "q1", "q2", "common").groupBy("component")
     placed = grouped.applyInPandas(_greedy(low, high, cap), "q long, cluster long")
-    return serp.select("q").distinct().join(placed, "q", "left").select("q", F.coalesce("cluster", "q").alias("cluster"))
+    out = serp.select("q").distinct().join(placed, "q", "left").select("q", F.coalesce("cluster", "q").alias("cluster"))
+    if places is None:
+        return out
+    return out.unionByName(places.select("q").distinct().join(out, "q", "left_anti").select("q", F.lit(-1).cast("long").alias("cluster")))

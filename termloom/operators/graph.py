@@ -12,7 +12,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the folder that executors share (spark.checkpoint.dir; one of our own in local mode)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
     return df.checkpoint()
@@ -67,3 +67,33 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
         if moved < tolerance * n:
             break
     return ranks
+
+
+def adjacency_matrix(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(node, a column for every node): the number of links between two nodes, both ways. ValueError beyond `most` nodes,
+    since a table can't be wider; use the edge list then."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    nodes = [r.src for r in both.select("src").distinct().orderBy("src").limit(most + 1).collect()]
+    if len(nodes) > most:
+        raise ValueError(f"more than {most} nodes")
+    return both.groupBy(F.col("src").alias("node")).pivot("dst", nodes).count().na.fill(0)
+
+
+def graph_export(edges: DataFrame, features: DataFrame) -> DataFrame:
+    """(json): one object with nodes, each with its features, and edges, in order."""
+    row = lambda df, key: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(key))
+    return row(features, "nodes").join(row(edges, "edges")).select(F.to_json(F.struct("nodes", "edges")).alias("json"))
+
+
+def node_features(edges: DataFrame) -> DataFrame:
+    """(node, degree, weighted_degree, share) of edges(src, dst[, weight]); share is the degree over all other nodes."""
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    one = edges.select("src", "dst", weight.cast("double").alias("w"))
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    out = both.groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("degree"), F.sum("w").alias("weighted_degree"))
+    return out.join(F.broadcast(out.agg(F.count("*").alias("n")))).select("node", "degree", "weighted_degree", (F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1))).alias("share"))
+
+
+def hubs(edges: DataFrame, top: int = 50) -> DataFrame:
+    """(node, rank) of the `top` nodes of the highest PageRank; of equals the least."""
+    return pagerank(edges).orderBy(F.desc("rank"), "node").limit(top)

@@ -17,7 +17,7 @@ def _words(spark, d):
 
 
 QUERIES = {
-    "l1_iterative_clusters": lambda spark, d: cluster.iterative_clusters(role(spark, d, "serp"), low=3, high=5),
+    "l1_iterative_clusters": lambda spark, d: cluster.iterative_clusters(role(spark, d, "serp"), low=3, high=10),
     "l4_soft_clusters": lambda spark, d: cluster.soft_clusters(role(spark, d, "serp"), threshold=3),
     "l5_split_clusters": lambda spark, d: refine.split_clusters(s := role(spark, d, "serp"), cluster.soft_clusters(s, threshold=2), cap=100, base=2, most=6),
     "l6_reattach_singletons": lambda spark, d: refine.reattach_singletons(s := role(spark, d, "serp"), cluster.iterative_clusters(s, low=4, high=5), base=3),

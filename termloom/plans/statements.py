@@ -10,13 +10,7 @@ _S = STATEMENTS
 # --- Filters ---------------------------------------------------------------------------------------------------------
 _STOP = "('green', 'large', 'small')"
 
-_S["f1_stop_word_filter"] = f"SELECT row_id, keyword FROM kw WHERE LIST_SIZE(LIST_FILTER(regexp_extract_all(keyword, RX'[a-zа-яё]+', 0), FN x: x IN {_STOP})) = 0"
-_S["f1_blocked_rows"] = f"SELECT row_id, keyword, LIST_FILTER(regexp_extract_all(keyword, RX'[a-zа-яё]+', 0), FN x: x IN {_STOP})[FIRST] AS found FROM kw WHERE LIST_SIZE(LIST_FILTER(regexp_extract_all(keyword, RX'[a-zа-яё]+', 0), FN x: x IN {_STOP})) > 0"
-_S["f3_low_frequency"] = "SELECT row_id, keyword, frequency_world FROM kw WHERE frequency_world >= 700"
-_S["f4_frequency_ratio"] = "SELECT row_id, keyword, frequency_world, frequency_exact FROM kw WHERE e > 0 AND w / (CASE WHEN e > 0 THEN e ELSE 1e0 END) <= 2"
-_S["f5_short_queries"] = "SELECT row_id, keyword FROM kw WHERE length(keyword) >= 12"
 _S["f6_filter_chain"] = f"SELECT row_id, keyword FROM kw WHERE LIST_SIZE(LIST_FILTER(regexp_extract_all(keyword, RX'[a-zа-яё]+', 0), FN x: x IN {_STOP})) = 0 AND frequency_world >= 1 AND e > 0 AND w <= 51 * e AND length(keyword) >= 2"
-_S["f7_stop_domain_filter"] = """SELECT q, u, domain FROM serp WHERE domain NOT IN ('site3.example.com', 'site7.example.com') AND domain NOT LIKE '%.site9.example.com' AND NOT STRPOS(domain, 'site11.') = 1"""
 _S["f8_gui_filter"] = "SELECT row_id, keyword, main_intent, frequency_world FROM kw WHERE STRPOS(keyword, 'e') > 0 AND main_intent = 'commercial' AND frequency_world BETWEEN 100 AND 900"
 _S["f9_has_serp_urls"] = """SELECT event_id, CASE WHEN props IS NULL OR trim(props) IN ('', '[]', 'null', 'NULL', 'None') THEN FALSE ELSE JSON_GET(props, '$.k') IS NOT NULL END AS has_urls FROM status_log"""
 _S["f11_pending_work"] = "SELECT DISTINCT keyword, group_name FROM status_log WHERE status = 'pending' OR status IS NULL OR (status = 'processing' AND req_id IS NULL) OR (status = 'error' AND message IS NULL) OR (status = 'completed' AND found IS NULL)"
@@ -42,11 +36,6 @@ _CLUSTER_WORDS = "SELECT DISTINCT cluster_id AS c, word FROM (SELECT cluster_id,
 _KEYWORD_WORDS = _CLUSTER_WORDS.replace("cluster_id AS c", "CAST(floor(sqrt(row_id)) AS BIGINT) AS c").replace("SELECT cluster_id", "SELECT row_id")
 _WORD_LINKS = f"cw AS ({_KEYWORD_WORDS}), worded AS (SELECT a.c AS c1, b.c AS c2, count(*) AS words FROM cw a JOIN cw b ON a.word = b.word AND a.c < b.c WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.c1 = a.c AND l.c2 = b.c) GROUP BY a.c, b.c HAVING count(*) >= 2)"
 _S["j10_cluster_word_links_anti"] = f"WITH {_CLUSTER_LINKS}, {_WORD_LINKS} SELECT c1, c2, words FROM worded"
-_S["j13_dictionary_semi_join"] = "SELECT row_id, keyword FROM kw k WHERE EXISTS (SELECT 1 FROM (SELECT 'steel' AS word UNION ALL SELECT 'copper' UNION ALL SELECT 'red') v WHERE STRPOS(k.keyword, v.word) > 0)"
-_S["j14_domain_priority"] = """SELECT DISTINCT s.domain, coalesce(CASE WHEN d.offers > 30 THEN 'commercial' WHEN d.total_docs > 0 THEN 'informational' END, c.class, i.class, 'unknown') AS class,
-  CASE WHEN d.domain IS NOT NULL THEN 'database' WHEN c.class IS NOT NULL THEN 'commercial_file' WHEN i.class IS NOT NULL THEN 'informational_file' ELSE 'none' END AS source
-  FROM serp s LEFT JOIN (SELECT * FROM domains WHERE total_docs >= 750) d ON concat(d.domain, '.example.com') = s.domain
-  LEFT JOIN (SELECT 'site1.example.com' AS domain, 'commercial' AS class) c ON c.domain = s.domain LEFT JOIN (SELECT 'site2.example.com' AS domain, 'informational' AS class) i ON i.domain = s.domain"""
 _S["j16_batch_lookup"] = "SELECT keyword, group_name, status FROM (SELECT keyword, group_name, status, row_number() OVER (PARTITION BY keyword ORDER BY group_name, event_id) AS r FROM status_log WHERE keyword IN ('query 1', 'query 2', 'query 77', 'query 499')) x WHERE r = 1"
 _S["j17_missing_from_cache"] = "SELECT row_id FROM kw k WHERE NOT EXISTS (SELECT 1 FROM ads a WHERE a.row_id = k.row_id AND a.shows > 500)"
 _S["j19_copy_between_stores"] = "SELECT keyword, 'a' AS origin FROM kw WHERE row_id % 2 = 0 UNION ALL SELECT keyword, 'b' AS origin FROM ads WHERE row_id % 2 = 1"
@@ -80,7 +69,6 @@ _COMM = "CASE WHEN main_intent LIKE 'commercial%' THEN 1e0 ELSE 0e0 END"
 _S["a22_dominant_clusters"] = f"SELECT cluster_id, round(avg({_COMM}), 6) AS share FROM (SELECT row_id % 300 AS cluster_id, main_intent FROM kw) x GROUP BY cluster_id HAVING avg({_COMM}) > 0.7e0"
 _S["a23_mixed_clusters"] = f"SELECT cluster_id, round(avg({_COMM}), 6) AS share FROM kw GROUP BY cluster_id HAVING avg({_COMM}) >= 0.3e0 AND avg({_COMM}) <= 0.7e0 AND avg(CASE WHEN main_intent = 'informational' THEN 1e0 ELSE 0e0 END) > 0"
 _S["a24_intent_summary"] = "SELECT main_intent, count(*) AS n, CAST(sum(frequency_world) AS BIGINT) AS total FROM kw GROUP BY main_intent"
-_S["a25_cluster_summary"] = "SELECT cluster_id, count(*) AS n, CAST(sum(frequency_world) AS BIGINT) AS total, round(avg(w), 4) AS mean, min(row_id) AS main_row FROM (SELECT *, max(w) OVER (PARTITION BY cluster_id) AS top FROM kw) x WHERE w = top OR w < top GROUP BY cluster_id"
 _S["a26_cluster_prices"] = "WITH p AS (SELECT q, avg(price) AS mean, min(price) AS least, max(price) AS most, count(oldprice) AS discounts FROM offers GROUP BY q) SELECT q % 40 AS cluster_id, round(avg(mean), 4) AS mean, min(least) AS least, max(most) AS most, round(100e0 * count_if(discounts > 0) / count(*), 4) AS discount_share FROM p GROUP BY q % 40"
 _S["a27_cluster_ads_coverage"] = "SELECT cluster_id, count_if(shows > 0) AS covered, round(100e0 * count_if(shows > 0) / count(*), 4) AS coverage, round(avg(CASE WHEN cpc > 0 THEN cpc END), 4) AS mean_cpc FROM ads GROUP BY cluster_id"
 _S["a28_cluster_url_shares"] = "WITH n AS (SELECT q % 300 AS c, count(DISTINCT q) AS queries FROM serp GROUP BY q % 300), u AS (SELECT q % 300 AS c, u, count(*) AS n, row_number() OVER (PARTITION BY q % 300 ORDER BY count(*) DESC, u) AS r FROM serp GROUP BY q % 300, u) SELECT u.c, u.u, u.n, u.n = n.queries AS common_to_all, round(100e0 * u.n / n.queries, 4) AS percentage FROM u JOIN n ON n.c = u.c WHERE u.n >= 2 AND u.r <= 15"
@@ -166,18 +154,10 @@ _S["m10_potential_revenue"] = f"SELECT row_id, round(kei_potential_traffic * kei
 _S["m11_synergy"] = f"SELECT row_id, round(kei_effectiveness * kei_popularity / (kei_competition + 1), 6) AS v FROM (SELECT row_id, {_MADE} FROM {_AD} x) y"
 _S["m13_effectiveness_coefficient"] = f"SELECT row_id, round(kei_effectiveness * kei_effectiveness / (1 + kei_competition / 1000), 6) AS v FROM (SELECT row_id, {_MADE} FROM {_AD} x) y"
 _S["m17_priority_score"] = f"WITH k AS (SELECT row_id, w, cs, {METRICS['kei_effectiveness']} AS f FROM kw), r AS (SELECT min(w) AS lo_w, max(w) AS hi_w, min(cs) AS lo_cs, max(cs) AS hi_cs, min(f) AS lo_f, max(f) AS hi_f FROM k) SELECT row_id, round(0.3e0 * ({normalised('w')}) + 0.25e0 * 50 + 0.25e0 * ({normalised('cs')}) + 0.2e0 * ({normalised('f')}), 6) AS v FROM k CROSS JOIN r"
-_S["m19_missing_serp_defaults"] = "SELECT row_id, 1000 * w AS d, 30e0 AS m, 15e0 AS t FROM kw"
 _S["m20_ads_competition"] = "SELECT k.row_id, round(CASE WHEN shows = 0 THEN w ELSE w / CASE WHEN shows = 0 THEN 1e0 ELSE shows END END * CASE WHEN cpc = 0 THEN 100e0 ELSE 100 / CASE WHEN cpc = 0 THEN 1e0 ELSE cpc END END, 6) AS v FROM kw k JOIN ads a ON a.row_id = k.row_id"
 _S["m22_click_budget"] = "SELECT row_id, round(100 * cpc, 6) AS v FROM ads"
 _S["m23_monthly_budget"] = "SELECT row_id, round(shows * (50e0 / 100) * (ctr / 100) * cpc, 6) AS v FROM ads"
 _S["m24_seasonality"] = "SELECT row_id, CASE WHEN month IN (12, 1, 2) THEN 1.2e0 WHEN month IN (6, 7, 8) THEN 0.9e0 ELSE 1e0 END AS v FROM kw"
-_DIFF = "greatest(0e0, least(100e0, CASE WHEN w >= 1200 THEN 40 WHEN w >= 900 THEN 30 WHEN w >= 600 THEN 20 WHEN w >= 300 THEN 10 ELSE 5 END + CASE WHEN e > 0 THEN 20 * e / greatest(w, 1e0) ELSE 0e0 END + CASE WHEN LIST_SIZE(SPLIT_RX(keyword, ' +')) = 1 THEN 20 WHEN LIST_SIZE(SPLIT_RX(keyword, ' +')) = 2 THEN 10 WHEN LIST_SIZE(SPLIT_RX(keyword, ' +')) >= 5 THEN -10 ELSE 0 END + CASE WHEN main_intent LIKE 'commercial%' THEN 15 ELSE 0 END + 10 * brand))"
-_LEVEL = "CASE WHEN v >= 75 THEN 'very_hard' WHEN v >= 60 THEN 'hard' WHEN v >= 40 THEN 'medium' WHEN v >= 20 THEN 'easy' ELSE 'very_easy' END"
-_S["m25_difficulty_score"] = f"SELECT row_id, round({_DIFF}, 6) AS v FROM kw"
-_S["m26_difficulty_level"] = f"SELECT row_id, {_LEVEL} AS level FROM (SELECT row_id, {_DIFF} AS v FROM kw) x"
-_STRATEGY = "CASE WHEN v < 40 AND w >= 500 THEN 'quick_wins' WHEN v < 40 THEN 'long_tail' WHEN v >= 60 AND main_intent LIKE 'commercial%' THEN 'competitive' WHEN main_intent = 'informational' AND v < 50 THEN 'informational_easy' ELSE 'medium' END"
-_S["m27_strategy"] = f"SELECT row_id, {_STRATEGY} AS strategy FROM (SELECT row_id, w, main_intent, {_DIFF} AS v FROM kw) x"
-_S["o4_opportunities"] = f"SELECT row_id, frequency_world, round(v, 6) AS v FROM (SELECT row_id, frequency_world, w, main_intent, {_DIFF} AS v FROM kw) x WHERE {_STRATEGY} = 'long_tail' ORDER BY frequency_world DESC, v, row_id LIMIT 50"
 _S["m28_serp_difficulty"] = "SELECT row_id, round(least(100e0, least(d / 1e6 * 50, 50e0) + least(1.5e0 * m, 25e0) + least(0.8e0 * t, 15e0) + least(0.5e0 * cs, 10e0)), 6) AS v FROM kw"
 _S["m29_competition_level"] = "SELECT row_id, CASE WHEN cpc = 0 OR shows < 100 THEN 'low' WHEN cpc < 50 THEN CASE WHEN shows > 1000 THEN 'medium' ELSE 'low' END WHEN cpc < 150 THEN 'medium' ELSE 'high' END AS level FROM ads"
 _S["m30_lsi_relevance"] = "SELECT row_id, round(w * (1 + 0.1e0 * t) * (1 + 0.3e0 * (LIST_SIZE(SPLIT_RX(keyword, ' +')) - 2)), 6) AS v FROM kw"
@@ -188,18 +168,9 @@ _S["m32_round"] = "SELECT row_id, round(w / 7, 3) AS v FROM kw"
 _S["g4_offer_json"] = "SELECT event_id, CAST(JSON_GET(props, '$.k') AS BIGINT) AS k, JSON_GET(props, '$.absent') IS NOT NULL AS has_discount FROM status_log"
 _S["g7_url_list"] = "SELECT q, LIST_JOIN(LIST_SORT(COLLECT(url)), '|') AS urls FROM serp WHERE position <= 20 GROUP BY q"
 _S["t1_ttl"] = "SELECT event_id, updated_at >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 DAYS AS fresh FROM status_log"
-_COMMERCIAL, _INFO, _NAV = "(steel|copper|red)", "(green|small|blue)", "(brass|large)"
-_S["c1_intent_scores"] = f"SELECT row_id, LIST_SIZE(regexp_extract_all(keyword, '{_COMMERCIAL}', 0)) * 3e0 AS commercial, LIST_SIZE(regexp_extract_all(keyword, '{_INFO}', 0)) * 4e0 * 1.75e0 AS informational, LIST_SIZE(regexp_extract_all(keyword, '{_NAV}', 0)) * 4e0 AS navigational FROM kw"
-_S["c2_main_intent"] = f"SELECT row_id, concat(CASE WHEN c = 0 AND i = 0 AND n = 0 THEN 'informational' WHEN c >= i AND c >= n THEN 'commercial' WHEN i >= n THEN 'informational' ELSE 'navigational' END, CASE WHEN geo > 0 AND c + i > 0 AND (c >= n OR i >= n) THEN '_geo' ELSE '' END) AS intent, greatest(c, i, n, CASE WHEN c + i + n = 0 THEN 1e0 ELSE 0e0 END) AS score FROM (SELECT row_id, geo, LIST_SIZE(regexp_extract_all(keyword, '{_COMMERCIAL}', 0)) * 3e0 AS c, LIST_SIZE(regexp_extract_all(keyword, '{_INFO}', 0)) * 7e0 AS i, LIST_SIZE(regexp_extract_all(keyword, '{_NAV}', 0)) * 4e0 AS n FROM kw) x"
-_S["c3_flags"] = "SELECT row_id, STRPOS(keyword, 'red') > 0 OR STRPOS(keyword, 'steel') > 0 AS is_commercial, STRPOS(keyword, 'green') > 0 AS is_informational FROM kw"
-_S["c6_override"] = "SELECT row_id, CASE WHEN STRPOS(keyword, 'steel') > 0 THEN 'commercial' WHEN cs >= 7 THEN concat('commercial', CASE WHEN geo > 0 THEN '_geo' ELSE '' END) ELSE main_intent END AS intent FROM kw"
 _S["c7_domain_adjustment"] = "SELECT row_id, CASE WHEN m / 20 >= 0.6e0 THEN 'commercial' WHEN 1 - m / 20 >= 0.6e0 THEN 'informational' ELSE main_intent END AS intent, round(greatest(m / 20, 1 - m / 20) * 10, 6) AS score FROM kw"
-_S["c9_content_intent"] = "SELECT doc_id, CASE WHEN c >= i THEN 'commercial' ELSE 'informational' END AS intent FROM (SELECT doc_id, LIST_SIZE(regexp_extract_all(text, 'the', 0)) AS c, LIST_SIZE(regexp_extract_all(text, 'ing', 0)) AS i FROM texts) x"
-_S["c12_funnel_stage"] = "SELECT row_id, CASE WHEN a = 0 AND b = 0 AND c = 0 THEN 'interest' WHEN a >= b AND a >= c THEN 'awareness' WHEN b >= c THEN 'consideration' ELSE 'purchase' END AS stage FROM (SELECT row_id, CASE WHEN STRPOS(keyword, 'green') > 0 THEN 5 ELSE 0 END AS a, CASE WHEN STRPOS(keyword, 'steel') > 0 THEN 4 ELSE 0 END AS b, CASE WHEN STRPOS(keyword, 'red') > 0 THEN 3 ELSE 0 END + CASE WHEN STRPOS(keyword, 'large') > 0 THEN 2 ELSE 0 END AS c FROM kw) x"
 _S["c13_page_type"] = "SELECT row_id, CASE WHEN main_intent = 'informational' THEN 'article' WHEN brand > 0 AND main_intent LIKE 'commercial%' THEN 'product' WHEN main_intent LIKE 'commercial%' THEN CASE WHEN w > 700 THEN 'category' ELSE 'filter' END WHEN main_intent = 'navigational' THEN 'main' ELSE 'other' END AS page_type FROM kw"
 _S["c14_brand_tokens"] = "SELECT row_id, word, CASE WHEN MATCHES(word, '^[A-Z]{2,5}$') THEN 0.9e0 WHEN MATCHES(word, '^[A-Za-z]+[0-9]+$') THEN 0.8e0 WHEN MATCHES(word, '^[a-z]{3,}$') THEN 0.7e0 ELSE 0e0 END AS confidence FROM (SELECT row_id, EXPLODE(SPLIT_RX(keyword, ' +')) AS word FROM kw) x"
-_S["c18_structure_pattern"] = "SELECT row_id, CASE WHEN MATCHES(keyword, '^(how|what|why|where)') THEN 'question' WHEN MATCHES(keyword, ' (vs|or) ') THEN 'comparison' WHEN MATCHES(keyword, 'price|buy|cost') THEN 'transactional' WHEN MATCHES(keyword, '^[a-z]+ [a-z]+$') THEN 'two_words' WHEN MATCHES(keyword, '[0-9]') THEN 'numeric' ELSE 'other' END AS pattern FROM kw"
-_S["c20_modifiers"] = "SELECT row_id, CASE WHEN r = '' THEN 'no_modifier' ELSE r END AS modifiers FROM (SELECT row_id, trim(concat(CASE WHEN MATCHES(keyword, 'red|green|blue') THEN 'color ' ELSE '' END, CASE WHEN MATCHES(keyword, 'small|large') THEN 'size ' ELSE '' END, CASE WHEN MATCHES(keyword, 'steel|copper|brass') THEN 'material' ELSE '' END)) AS r FROM kw) x"
 # Two keywords are compatible if they are in one class, named by its least row_id; a keyword without a cluster is in none.
 _S["c22_geo_compatible"] = "SELECT k.row_id, k.cluster_id, k.geo, c.class FROM kw k JOIN (SELECT cluster_id, geo, min(row_id) AS class FROM kw GROUP BY cluster_id, geo) c ON c.cluster_id = k.cluster_id AND c.geo IS NOT DISTINCT FROM k.geo"
 # Of links equally strong, those by URLs come first.
@@ -210,7 +181,6 @@ _S["l2_overlaps_in_clusters"] = f"WITH p AS ({_PAIRS}) SELECT q1, q2, common FRO
 _S["l7_renumber"] = "SELECT row_id, CAST(dense_rank() OVER (ORDER BY cluster_id) AS BIGINT) AS cluster_number FROM kw"
 _S["l19_graph_statistics"] = "WITH n AS (SELECT src AS x FROM edges UNION SELECT dst FROM edges) SELECT (SELECT count(*) FROM n) AS nodes, count(*) AS links, round(2e0 * count(*) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1e0)), 8) AS density FROM edges"
 _S["l19_degrees"] = "SELECT x AS node, count(*) AS degree FROM (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) y GROUP BY x"
-_S["k16_adjacency"] = "SELECT src, CAST(sum(CASE WHEN dst % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS d0, CAST(sum(CASE WHEN dst % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS d1, CAST(sum(CASE WHEN dst % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS d2 FROM edges GROUP BY src"
 
 # --- Small operators -------------------------------------------------------------------------------------------------
 _S["z2_ads_statistics"] = "SELECT count_if(shows > 0) AS enriched, sum(shows) AS shows, sum(clicks) AS clicks, round(avg(CASE WHEN cpc > 0 THEN cpc END), 4) AS mean_cpc FROM ads"
