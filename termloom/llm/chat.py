@@ -73,15 +73,26 @@ def loss_texts(turns: Column) -> Column:
     return F.transform(F.filter(turns, lambda t: t.role == "assistant"), lambda t: t.text)
 
 
+#: Characters of a streamed delta.
+DELTA = 1024
+
+
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """A conversation table (conv_id, turn, role, text) as a log: each row is one message.
+    """A conversation table (conv_id, turn, role, text) as a log of the events that streaming it makes.
 
     Rows of a conversation follow each other by turn (null first), then role, then text; repeated rows stay. The
-    message's key is that order, with a number for repeated rows."""
+    message's key is that order, with a number for repeated rows. A message begins with a first draft, its role and a
+    delta that says nothing final; it is regenerated, and then its text comes as deltas of DELTA characters, numbered by
+    seq. So what is rendered is what the fold makes of the log, in whatever order its rows come."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return each.select("conv_id", F.struct("turn", "role", F.sha2("text", 256).alias("digest"), "copy").alias("message"), F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    named = each.select("conv_id", F.struct("turn", "role", F.sha2("text", 256).alias("digest"), "copy").alias("message"), "role", "text")
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    event = lambda seq, kind, role, text: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
+    draft = F.array(event(F.lit(0), "delta", F.lit(""), F.lit("draft")), event(F.lit(1), "regenerate", F.col("role"), F.lit("")))
+    deltas = F.transform(pieces, lambda t, i: event(i + 2, "delta", F.lit(None), t))
+    return named.select("conv_id", "message", F.inline(F.concat(draft, deltas)))
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

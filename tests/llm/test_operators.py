@@ -298,7 +298,61 @@ def test_revisits_without_a_url_stay_unresolved(spark):
 def test_digest_index_of_several_runs(spark):
     index = exactdedup.DigestIndex(spark)
     runs = [[(b"a", 5, 3), (b"b", 2, 1)], [(b"a", 4, 3), (b"c", 9, 0)], [(b"a", 1, 2)]]
+    frame_of = lambda rows: spark.createDataFrame([(bytearray(d), i, n) for d, i, n in rows], "digest binary, doc_id long, points long")
     for rows in runs:
-        index.flush(spark.createDataFrame([(bytearray(d), i, n) for d, i, n in rows], "digest binary, doc_id long, points long"))
+        index.flush(frame_of(rows))
     assert {(bytes(r.digest), r.doc_id, r.points) for r in index.lookup([b"a", b"z"]).collect()} == {(b"a", 5, 3), (b"a", 4, 3), (b"a", 1, 2)}
     assert {(bytes(r.digest), r.keep_id, r.group_size) for r in index.compact().collect()} == {(b"a", 4, 3), (b"b", 2, 1), (b"c", 9, 1)}
+    assert [len(x) for x in index.levels] == [3]
+    index.flush(frame_of([(b"c", 3, 0), (b"a", None, 9)]))  # the fourth run: the level is merged into the next
+    assert [len(x) for x in index.levels] == [0, 1]
+    merged = {(bytes(r.digest), r.doc_id, r.points, r.n) for r in index.entries().collect()}
+    assert merged == {(b"a", 4, 3, 4), (b"b", 2, 1, 1), (b"c", 3, 0, 2)}
+    index.flush(frame_of([(b"d", 1, 1), (b"c", 1, 0)]))
+    assert {(bytes(r.digest), r.doc_id, r.n) for r in index.known(frame_of([(b"c", 0, 0), (b"z", 0, 0)])).collect()} == {(b"c", 1, 3)}
+
+
+def test_exact_dedup_through_many_memtables(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "MEMTABLE_ROWS", 100)
+    rows = [(k, f"text {k % 37}" + " " * (k % 3)) for k in range(900)] + [(None, "text 1" + " " * 9)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exactdedup.exact_dedup(frame(spark, rows).repartition(9)).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((i is None, -len(t), i))
+    want = {i: (min(g)[2], len(g), i == min(g)[2] or min(g)[2] is None) for g in groups.values() for _, _, i in g}
+    assert got == want
+
+
+def edit_log(rng, conversations):
+    """A log of streamed deltas, edits, regenerations and deletions, out of order, and its sequential fold."""
+    log, want, seq = [], {}, 0
+    for conv in range(conversations):
+        messages = [f"m{k}" for k in range(rng.randrange(1, 6))]
+        state = {}
+        for _ in range(rng.randrange(1, 40)):
+            m, kind, text = rng.choice(messages), rng.choice(["delta"] * 8 + ["edit", "regenerate", "delete"]), rng.choice(["a", "<|im_end|>", "é ", "", "\n"])
+            role = rng.choice(["user", "assistant", None])
+            seq += 1
+            log.append((conv, m, seq, kind, role, text))
+            old, said = state.get(m, (None, None))
+            state[m] = (None if kind == "delete" else text if kind != "delta" or old is None else old + text, said if role is None else role)
+        want[conv] = [(state[m][1] or "", state[m][0]) for m in sorted(state) if state[m][0] is not None]
+    rng.shuffle(log)
+    return log, {c: t for c, t in want.items() if t}
+
+
+def test_chat_fold_equals_a_sequential_one(spark):
+    log, want = edit_log(random.Random(12), 60)
+    events = spark.createDataFrame(log, "conv_id long, message string, seq long, kind string, role string, text string")
+    got = chat.render(chat.fold_events(events)).select("conv_id", chat.parse(chat.F.col("formatted")).alias("turns")).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in got} == want
+
+
+def test_conversation_events_stream_texts(spark):
+    """A table becomes a log whose sequence numbers and deltas matter: shuffled and folded it gives the table again."""
+    rows = [(1, 0, "user", "x" * 5000 + "é𝒳"), (1, 1, "assistant", "<|im_end|>" * 300), (1, 1, "assistant", "<|im_end|>" * 300), (1, None, None, None), (2, 3, "user", "")]
+    events = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    log = events.collect()
+    assert len(log) > len(rows) and len({(r.conv_id, r.message, r.seq) for r in log}) == len(log)
+    got = chat.render(chat.fold_events(events.orderBy("text"))).select("conv_id", chat.parse(chat.F.col("formatted")).alias("turns")).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in got} == {1: [("", ""), *[(r, t) for _, _, r, t in rows[:3]]], 2: [("user", "")]}
