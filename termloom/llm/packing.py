@@ -29,7 +29,7 @@ from .common import materialise
 #: Patterns kept for each leading length, those of the most frequent partners; passes of the least-squares fit.
 COLUMNS, PASSES = 16, 20
 #: Bytes of text whose words are looked up together, and words that the library gets as one text.
-RUN, JOINED = 16_000_000, 64
+RUN, JOINED = 4_000_000, 64
 #: Words whose ids a worker remembers, and the longest that it does: some 10 MB.
 REMEMBERED, LONGEST = 200_000, 24
 #: White space to any of the libraries: the Unicode property and the separators 1C to 1F.
@@ -282,6 +282,7 @@ def _pieces(tokenizer_path: str, size: int, end: int, special_as_text: bool):
                 length = stop - start
                 arrays = [docs.take(pa.array(at + np.repeat(order, cuts))), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(_numbered(length, seen)), pa.array(np.full(len(crc), part), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
+        pa.default_memory_pool().release_unused()  # the worker lives on between tasks
 
     return run
 
