@@ -20,7 +20,7 @@ QUERIES = {
     "l1_iterative_clusters": lambda spark, d: cluster.iterative_clusters(role(spark, d, "serp"), low=3, high=10),
     "l4_soft_clusters": lambda spark, d: cluster.soft_clusters(role(spark, d, "serp"), threshold=3),
     "l5_split_clusters": lambda spark, d: refine.split_clusters(s := role(spark, d, "serp"), cluster.soft_clusters(s, threshold=2), cap=100, base=2, most=6),
-    "l6_reattach_singletons": lambda spark, d: refine.reattach_singletons(s := role(spark, d, "serp"), cluster.iterative_clusters(s, low=4, high=5), base=3),
+    "l6_reattach_singletons": lambda spark, d: refine.reattach_singletons(s := role(spark, d, "serp"), cluster.iterative_clusters(s, low=5, high=10), base=4),
     "l10_tf_idf": lambda spark, d: _words(spark, d).select(F.col("id").alias("row_id"), F.explode(F.arrays_zip("terms", "weights")).alias("t")).select("row_id", F.col("t.terms").alias("term"), F.round("t.weights", 5).alias("weight")),
     "l11_k_means": lambda spark, d: topics.k_means(_words(spark, d)),
     "l12_density_clusters": lambda spark, d: topics.density_clusters(_words(spark, d)),
