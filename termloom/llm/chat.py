@@ -39,14 +39,16 @@ def fold_events(events: DataFrame) -> DataFrame:
     """
     kind = F.coalesce(F.lower("kind"), F.lit("delta"))
     event = F.struct(F.col("seq").alias("seq"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("role"))
-    log = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    resets = F.filter("log", lambda e: e.kind.isin("edit", "regenerate", "delete"))
-    last = F.element_at(resets, -1)
-    live = F.when(F.size(resets) == 0, F.col("log")).otherwise(F.filter("log", lambda e: (e.seq > last.seq) | (e == last) | ((e.seq == last.seq) & (e.kind >= last.kind))))
-    roles = F.filter("log", lambda e: e.role.isNotNull())
-    out = log.withColumn("live", live).where(~((F.size("live") == 1) & (F.col("live")[0].kind == "delete")))
+    reset = kind.isin("edit", "regenerate", "delete")
+    # The last reset and the last role come from the aggregation: looked up inside the filter, they would cost a pass of the log for each of its events.
+    log = events.groupBy("conv_id", "message").agg(
+        F.array_sort(F.collect_list(event)).alias("log"), F.max(F.when(reset, event)).alias("last"), F.max(F.when(F.col("role").isNotNull(), event)).alias("named")
+    )
+    last = F.col("last")
+    live = F.when(last.isNull(), F.col("log")).otherwise(F.filter("log", lambda e: (e.seq > last.seq) | (e == last) | ((e.seq == last.seq) & (e.kind >= last.kind))))
+    out = log.select("conv_id", "message", F.coalesce("named.role", F.lit("")).alias("role"), live.alias("live")).where(~((F.size("live") == 1) & (F.col("live")[0].kind == "delete")))
     texts = F.transform(F.filter("live", lambda e: e.kind != "delete"), lambda e: e.text)
-    return out.select("conv_id", "message", F.coalesce(F.when(F.size(roles) > 0, F.element_at(roles, -1).role), F.lit("")).alias("role"), F.array_join(texts, "").alias("text"))
+    return out.select("conv_id", "message", "role", F.array_join(texts, "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
