@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .chat import END, START, chat_digests, conversation_events, fold_events, render
 from .common import table
+from .divergence import divergence
 from .exactdedup import exact_dedup
 from .htmltext import extract_text
 from .minhash import near_dedup
@@ -74,6 +75,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(render(fold_events(conversation_events(given.unionByName(hostile)))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 SQL: dict[str, str] = {}
@@ -161,3 +167,27 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10
 """
+
+SQL["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+voc AS (SELECT lang, term, count(*) AS n FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM voc GROUP BY lang),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN voc USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+gsize AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * s.v) AS p
+  FROM gsize g JOIN size s USING (lang) JOIN voc USING (lang) LEFT JOIN cnt c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (s.total + 5 * s.v) AS q FROM voc JOIN size s USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+marks AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+every AS (SELECT * FROM pairs UNION ALL SELECT * FROM marks),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
