@@ -1,7 +1,7 @@
 """Exact duplicates by a log-structured merge index of text digests, in DataFrame operations only.
 
-A flush cuts a batch into memtables, one a group of the batch's partitions, and writes each as a run: sorted by digest
-within its files, with Parquet's Bloom filters and row-group ranges on the digest, so that a later look-up skips files
+A flush cuts a batch into memtables by a hash of the entry (so a row's memtable is the same in every job, however files are
+cut into tasks) and writes each as a run: sorted by digest within its files, with Parquet's Bloom filters and row-group ranges on the digest, so that a later look-up skips files
 and pages without a hit. Runs belong to levels. When a level has FANOUT runs, compaction merges them into one run of the
 next level, with the entry that stays and the count of each digest, and drops what it merged; a new batch never
 rewrites the older levels until they are due. Merging pre-aggregates in each task, so a digest with a third of all rows
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_folder, materialise, shared_folder, squeeze
 
-#: Runs of a level that are merged into one of the next; memtables that one flush is cut into at most, by rows.
-FANOUT, MEMTABLE_ROWS, MOST_MEMTABLES = 4, 50_000_000, 16
+#: Runs of a level that are merged into one of the next; rows of a memtable, and memtables of a batch at most (each is a job;
+#: beyond that many, memtables are larger).
+FANOUT, MEMTABLE_ROWS, MOST_MEMTABLES = 4, 60_000, 16
 _ENTRY = "digest binary, doc_id long, points long, n long"
 
 
@@ -92,11 +93,11 @@ class DigestIndex:
 
 
 def flush_in_memtables(index: DigestIndex, entries: DataFrame, rows: int) -> None:
-    """Flushes entries as runs of about MEMTABLE_ROWS rows, MOST_MEMTABLES at most (each is a job of its own)."""
+    """Flushes entries (digest, doc_id, points) as runs of about MEMTABLE_ROWS rows, MOST_MEMTABLES at most."""
     tables = max(1, min(MOST_MEMTABLES, -(-rows // MEMTABLE_ROWS)))
-    part = F.pmod(F.spark_partition_id(), F.lit(tables))
+    memtable = F.pmod(F.xxhash64("doc_id", "digest", "points"), F.lit(tables))
     for k in range(tables):
-        index.flush(entries.where(part == k) if tables > 1 else entries)
+        index.flush(entries.where(memtable == k))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -323,6 +323,24 @@ def test_exact_dedup_through_many_memtables(spark, monkeypatch):
     assert got == want
 
 
+def test_exact_dedup_loses_no_row_when_files_are_cut_otherwise_between_flushes(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "MEMTABLE_ROWS", 2500)
+    flush, sizes, before = exactdedup.DigestIndex.flush, iter(["1k", "128m", "3k", "64k"]), spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def other_cut(self, entries):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return flush(self, entries)
+
+    monkeypatch.setattr(exactdedup.DigestIndex, "flush", other_cut)
+    try:
+        got = exactdedup.exact_dedup(frame(spark, [(k, f"t{k % 9000}") for k in range(10000)]).repartition(13)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {k: (k % 9000, 2 if k % 9000 < 1000 else 1) for k in range(10000)} and len(got) == 10000
+
+
 def edit_log(rng, conversations):
     """A log of streamed deltas, edits, regenerations and deletions, out of order, and its sequential fold."""
     log, want, seq = [], {}, 0
