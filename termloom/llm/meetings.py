@@ -5,8 +5,8 @@ by which two of a bucket are screened before their full sets are compared.
 
 1. Within each bucket every class is compared with the bucket's centre alone (one candidate a row). Candidates pass the
    screen and then a check on the full sets. The links found give components.
-2. What is left are pairs of one bucket in different components, so at least one of the two is outside the bucket's
-   largest component. Only such rows visit the bucket's blocks, which split it over tasks; all others stay at home, so
+2. What is left are pairs of one bucket without its centre and in different components, so at least one of the two is
+   outside the bucket's largest component. Only such rows visit the bucket's blocks, which split it over tasks; all others stay at home, so
    a large group that is connected but for a few rows is not repeated. Rows meet by mark; those with a near partner
    meet again with their full sets, and each block returns the links that connect its components (fewer than its rows).
    So every pair of a bucket is either known to be connected or was compared once, in the first bucket they share; none is
@@ -202,9 +202,10 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     links = materialise(_confirmed(materialise(near, "near"), docs, width, percent), "links")
     comps = materialise(connected_components(links), "comps")
 
-    placed = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    others = rows.where("id <> centre and rows > 2").select("key", "id")
+    placed = others.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     sized = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = materialise(sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), (F.sum("c") - F.max("c")).alias("minors")).where("minors > 0"), "mixed")
+    mixed = materialise(sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), (F.sum("c") - F.max("c")).alias("minors"), F.sum("c").alias("rows")).where("minors > 0"), "mixed")
     homes, visits = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("rows", "minors"))
     home, visit = (F.pmod(F.xxhash64("id"), n).cast("int") for n in (homes, visits))
     minor = F.col("comp") != F.col("major")
