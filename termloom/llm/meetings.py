@@ -1,7 +1,8 @@
 """Links within buckets of documents, found once each, when a bucket may hold a third of all rows.
 
-`linked_components` takes classes of documents (id, n, mark, keys): a key for each bucket that the class is in, and a mark
-by which two of a bucket are screened before their full sets are compared.
+`linked_components` takes classes of documents (id, n, mark, more, keys): a key for each bucket that the class is in, a small
+mark by which two of a bucket are screened, and what a second screen reads of those that pass, before their full sets are
+compared.
 
 1. Within each bucket every class is compared with the bucket's centre alone (one candidate a row). Candidates pass the
    screen and then a check on the full sets. The links found give components.
@@ -32,14 +33,19 @@ BLOCK, CHECKED = 256, 1024
 
 
 class Screen(Protocol):
-    """What two marks say before the full sets are compared."""
+    """What is known of two classes before their full sets are compared. Neither screen may lose a link."""
 
     def pairs(self, a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-        """Whether a[k] and b[k] may be linked, for every k."""
+        """Whether classes of marks a[k] and b[k] may be linked, for every k."""
 
-    def block(self, marks: list[bytes], n: np.ndarray, keys: list[np.ndarray], here: int) -> Callable[[int, np.ndarray], np.ndarray]:
-        """A function (k, rows) that keeps the rows that may be linked with row k and have no earlier key in common with it
-        than `here`."""
+    def block(self, marks: list[bytes], n: np.ndarray, here: int) -> Callable[[int, np.ndarray], np.ndarray]:
+        """A function (k, rows) that keeps the rows of a block of bucket `here` that may be linked with row k."""
+
+    def meet(self, a: bytes, b: bytes) -> bool:
+        """Whether two that passed may still be linked, by `more` of both."""
+
+    def first(self, a: bytes, b: bytes, here: int) -> bool:
+        """Whether `here` is the first bucket that both are in, by `more` of both (True where block has seen to that)."""
 
 
 def _screened(screen: Screen):
@@ -85,13 +91,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int,
 
 
 def _partners(rows: list[tuple], percent: int, screen: Screen) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row k of a block (key, i, j, id, comp, n, side, mark, keys), the later rows that may be linked with it:
-    another component, sizes that allow it, marks that pass, and this bucket the first that both are in. side: 0 at
+    """For each row k of a block (key, i, j, id, comp, n, side, mark), the later rows that may be linked with it: another
+    component, sizes that allow it, and marks that pass. side: 0 at
     home and in the bucket's largest component, 1 at home and in another, 2 visiting. Rows at home meet visitors; two
     that are both outside the largest component meet where the one with the lesser id is at home."""
     comp, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
     side, ids = np.array([r[6] for r in rows]), np.array([r[3] for r in rows])
-    passing = screen.block([r[7] for r in rows], n, [r[8] for r in rows], rows[0][0])
+    passing = screen.block([r[7] for r in rows], n, rows[0][0])
     for k in range(len(rows) - 1):
         other, later = side[k + 1 :], ids[k + 1 :]
         ok = (comp[k + 1 :] != comp[k]) & ((other == 2) != (side[k] == 2))
@@ -136,7 +142,7 @@ def _linked(percent: int, screen: Screen):
             for k, at in _partners(rows, percent, screen):
                 for x in at.tolist():
                     one, two = root(rows[k][4]), root(rows[x][4])
-                    if one == two:
+                    if one == two or not screen.first(rows[k][8], rows[x][8], rows[k][0]) or not screen.meet(rows[k][8], rows[x][8]):
                         continue
                     common = len(np.intersect1d(rows[k][9], rows[x][9], assume_unique=True))
                     if 100 * common >= percent * (len(rows[k][9]) + len(rows[x][9]) - common):
@@ -186,8 +192,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return met.mapInArrow(_checked(percent), "a long, b long")
 
 
+def _meeting(screen: Screen):
+    """Rows (a, b, more_a, more_b): those that the second screen lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [screen.meet(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent: int, screen: Screen) -> DataFrame:
-    """(node, component) of the classes (id, n, rank, mark, keys) that are linked with another one. docs(id, text) has the
+    """(node, component) of the classes (id, n, rank, mark, more, keys) that are linked with another one. docs(id, text) has the
     texts of their ids. A bucket's centre is its class of the highest rank, of equals the one of the least id."""
     rows = classes.select("id", "rank", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.max(F.struct(F.col("rank"), (-F.col("id")).alias("minus"))).alias("c"), F.count("*").alias("rows")).where("rows > 1")
@@ -199,7 +216,11 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     one, two = (marks.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("mark").alias(f"mark_{k}")) for k in "ab")
     sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     near = stars.join(two, "b").join(one, "a").where(sized).select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(_screened(screen), "a long, b long")
-    links = materialise(_confirmed(materialise(near, "near"), docs, width, percent), "links")
+    near = materialise(near, "near")
+    rest = classes.select("id", "more")
+    near = near.join(rest.select(F.col("id").alias("b"), F.col("more").alias("more_b")), "b").join(rest.select(F.col("id").alias("a"), F.col("more").alias("more_a")), "a")
+    near = near.select("a", "b", "more_a", "more_b").mapInArrow(_meeting(screen), "a long, b long")
+    links = materialise(_confirmed(materialise(near, "meeting"), docs, width, percent), "links")
     comps = materialise(connected_components(links), "comps")
 
     others = rows.where("id <> centre and rows > 2").select("key", "id")
@@ -211,12 +232,12 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     minor = F.col("comp") != F.col("major")
     at_home = F.transform(F.sequence(F.lit(0), visits - 1), lambda j: F.struct(home.alias("i"), j.alias("j"), minor.cast("int").alias("side")))
     visiting = F.transform(F.sequence(F.lit(0), homes - 1), lambda i: F.struct(i.alias("i"), visit.alias("j"), F.lit(2).alias("side")))
-    marks = classes.select("id", "n", "mark", "keys")
+    marks = classes.select("id", "n", "mark")
     spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
-    columns = ["key", "i", "j", "id", "comp", "n", "side", "mark", "keys"]
+    columns = ["key", "i", "j", "id", "comp", "n", "side", "mark"]
     ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     late = materialise(ordered.mapInArrow(_with_partner(percent, screen), "key long, i long, j long, id long, comp long, side long"), "late")
     sets = _sets_of(materialise(late.select("id").distinct(), "ids"), docs, width)
-    again = late.join(marks, "id").join(sets, "id").select(*columns, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    again = late.join(classes.select("id", "n", "mark", "more"), "id").join(sets, "id").select(*columns, "more", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = materialise(again.mapInArrow(_linked(percent, screen), "a long, b long"), "more")
     return materialise(connected_components(links.unionByName(more)), "final")

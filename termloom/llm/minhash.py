@@ -57,11 +57,11 @@ def _sketches(width: int, bands: int, rows: int):
                     keys.append([])
                     continue
                 minima = signature(s, a, b)
-                sig.append(minima.astype(np.uint8).tobytes())
                 band, table = salts.copy(), minima[: bands * rows].reshape(bands, rows).astype(np.uint64)
                 for k in range(rows):
                     band = mix(band ^ table[:, k])
                 keys.append(band.view(np.int64))
+                sig.append(minima.astype(np.uint8).tobytes() + band.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "n", "digest", "sig", "keys"],
@@ -71,17 +71,21 @@ def _sketches(width: int, bands: int, rows: int):
 
 
 class _Signatures:
-    """Screen by the share of equal bytes of two signatures."""
+    """Screen by the share of equal bytes of two signatures. A mark is the signature, then the keys of the bands."""
 
     def __init__(self, least: float):
         self.least = least
 
+    @staticmethod
+    def _tables(marks):
+        table = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1)
+        return table[:, :MINIMA], np.ascontiguousarray(table[:, MINIMA:]).view(np.int64)
+
     def pairs(self, a, b, n_a, n_b):
-        x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(len(side), -1) for side in (a, b))
-        return (x == y).mean(axis=1) >= self.least
+        return (self._tables(a)[0] == self._tables(b)[0]).mean(axis=1) >= self.least
 
-    def block(self, marks, n, keys, here):
-        table, keys = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1), np.stack(keys)
+    def block(self, marks, n, here):
+        table, keys = self._tables(marks)
 
         def passing(k, at):
             at = at[(table[at] == table[k]).mean(axis=1) >= self.least]
@@ -89,6 +93,14 @@ class _Signatures:
 
         return passing
 
+    @staticmethod
+    def meet(a, b):
+        return True
+
+    @staticmethod
+    def first(a, b, here):
+        return True
+
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of width-word shingles have a Jaccard similarity of percent / 100 or more.
@@ -106,7 +118,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = materialise(own.mapInArrow(_sketches(width, bands, band_rows), "id long, n long, digest binary, sig binary, keys array<long>"), "sketch")
     known = sketch.where("id is not null and n > 0")
     classes = materialise(
-        known.groupBy("n", "digest").agg(F.min_by(F.struct("sig", "keys"), "id").alias("s"), F.min("id").alias("id")).select("n", "digest", "id", F.lit(0).alias("rank"), F.col("s.sig").alias("mark"), "s.keys"),
+        known.groupBy("n", "digest").agg(F.min_by(F.struct("sig", "keys"), "id").alias("s"), F.min("id").alias("id")).select("n", "digest", "id", F.lit(0).alias("rank"), F.col("s.sig").alias("mark"), F.lit(b"").alias("more"), "s.keys"),
         "classes",
     )
     final = linked_components(classes, own, width, percent, _Signatures(screen))

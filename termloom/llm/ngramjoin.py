@@ -3,9 +3,9 @@
 Under any order of all shingles, two sets of n and m elements with a similarity of t or more have an element in common
 among the first n - ceil(t * n) + 1 of the one and the first m - ceil(t * m) + 1 of the other (else too few are left to
 agree). Here there are ORDERS orders, each a hash of its own in which frequent shingles come last, and a pair is a candidate
-only if the prefixes meet in every one: the first order's prefixes make the buckets in which documents meet, the others'
-travel with a document and are intersected there, before any full set is fetched. The filters never lose a link, whatever
-the orders are.
+only if the prefixes meet in every one: the first order's prefixes make the buckets in which documents meet; of those that
+pass there by size and by a parity map of their sets, the prefixes under the other orders are intersected, before any full set
+is fetched. The filters never lose a link, whatever the orders are.
 
 Which shingles are frequent is counted over all documents: each task counts what it has read in pieces and hands on what
 came at least twice in a piece, so a count falls short by one for each piece at most. Those of HOT documents or more set a
@@ -93,7 +93,7 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digest, rank, marks, keys = [], [], [], [], []
+            size, digest, rank, marks, more, keys = [], [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 s = shingle_set(text.as_py(), width)
                 n = len(s)
@@ -102,6 +102,7 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
                 if not n:
                     rank.append(0)
                     marks.append(b"")
+                    more.append(b"")
                     keys.append([])
                     continue
                 at = s >> _U(64 - MAP_BITS)
@@ -110,22 +111,21 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
                 first = prefix_length(n, percent)
                 prefixes = [np.sort(np.partition((hot << _U(63)) | (mix(s ^ _U(salt)) >> _U(1)), first - 1)[:first]) for salt in salts]
                 parity = np.packbits((np.bincount((s & _U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(bool))
-                marks.append(parity.tobytes() + b"".join(np.sort((p >> _U(31)).astype(np.uint32)).tobytes() for p in prefixes[1:]))
+                marks.append(parity.tobytes())
+                more.append(prefixes[0].tobytes() + b"".join((p >> _U(31)).astype(np.uint32).tobytes() for p in prefixes[1:]))
                 keys.append(prefixes[0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(rank, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "digest", "rank", "mark", "keys"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(rank, pa.int64()), pa.array(marks, pa.binary()), pa.array(more, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "n", "digest", "rank", "mark", "more", "keys"],
             )
 
     return run
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.intersect1d(a, b, assume_unique=True)
-
-
 class _Orders:
-    """Screen by the parity maps, which differ in no more places than the sets do, and by the prefixes of the further orders."""
+    """Screens: first the parity maps, which differ in no more places than the sets do, then the prefixes of all orders. `more`
+    is the prefix of the first order (8 bytes an element, from which the keys are), then those of the others (4 bytes each: two
+    that agree in them pass for one, which lets a pair through and loses none)."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -134,30 +134,27 @@ class _Orders:
         # 100 * common >= percent * union is (100 + percent) * (elements of one set alone) <= (100 - percent) * both
         return (100 + self.percent) * differ <= (100 - self.percent) * both
 
-    @staticmethod
-    def _meet(a: bytes, b: bytes) -> bool:
-        # 32 bits of an element: two that agree in them pass for one, which lets a pair through and loses none
-        one, two = (np.frombuffer(x, np.uint32, offset=PARITY // 8).reshape(ORDERS - 1, -1) for x in (a, b))
-        return all(np.isin(x, y).any() for x, y in zip(one, two, strict=True))
-
     @staticmethod
     def _parity(marks: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(m[: PARITY // 8] for m in marks), _U).reshape(len(marks), -1)
+        return np.frombuffer(b"".join(marks), _U).reshape(len(marks), -1)
 
     def pairs(self, a, b, n_a, n_b):
-        ok = self._few(np.bitwise_count(self._parity(a) ^ self._parity(b)).sum(axis=1, dtype=np.int64), n_a + n_b)
-        for k in np.flatnonzero(ok):
-            ok[k] = self._meet(a[k], b[k])
-        return ok
+        return self._few(np.bitwise_count(self._parity(a) ^ self._parity(b)).sum(axis=1, dtype=np.int64), n_a + n_b)
 
-    def block(self, marks, n, keys, here):
+    def block(self, marks, n, here):
         parity = self._parity(marks)
+        return lambda k, at: at[self._few(np.bitwise_count(parity[at] ^ parity[k]).sum(axis=1, dtype=np.int64), n[at] + n[k])]
+
+    @staticmethod
+    def _prefixes(more: bytes) -> list[np.ndarray]:
+        size = len(more) // (8 + 4 * (ORDERS - 1))
+        return [np.frombuffer(more, np.int64, size), *(np.frombuffer(more, np.uint32, size, 8 * size + 4 * size * k) for k in range(ORDERS - 1))]
 
-        def passing(k, at):
-            at = at[self._few(np.bitwise_count(parity[at] ^ parity[k]).sum(axis=1, dtype=np.int64), n[at] + n[k])]
-            return at[[self._meet(marks[k], marks[x]) and _common(keys[k], keys[x])[0] == here for x in at]] if len(at) else at
+    def meet(self, a, b):
+        return all(np.isin(x, y).any() for x, y in zip(self._prefixes(a), self._prefixes(b), strict=True))
 
-        return passing
+    def first(self, a, b, here):
+        return int(np.intersect1d(self._prefixes(a)[0], self._prefixes(b)[0], assume_unique=True)[0]) == here
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -174,11 +171,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not 1 <= percent <= 100:
         raise ValueError("percent is from 1 to 100")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, digest binary, rank long, mark binary, keys array<long>"
+    schema = "id long, n long, digest binary, rank long, mark binary, more binary, keys array<long>"
     sketch = materialise(own.mapInArrow(_sketches(width, percent, frequent_map(own, width)), schema), "prefixes")
     known = sketch.where("id is not null and n > 0").groupBy("n", "digest")
-    classes = known.agg(F.min_by(F.struct("rank", "mark", "keys"), "id").alias("s"), F.min("id").alias("id"))
-    classes = materialise(classes.select("n", "digest", "id", "s.rank", "s.mark", "s.keys"), "classes")
+    classes = known.agg(F.min_by(F.struct("rank", "mark", "more", "keys"), "id").alias("s"), F.min("id").alias("id"))
+    classes = materialise(classes.select("n", "digest", "id", "s.rank", "s.mark", "s.more", "s.keys"), "classes")
     final = linked_components(classes, own, width, percent, _Orders(percent))
     answer = classes.select("n", "digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component_id"))
     out = sketch.select("id", "n", "digest").join(materialise(answer, "answer"), ["n", "digest"], "left")
