@@ -35,7 +35,7 @@ from .shingles import mix, shingle_set
 ORDERS = 3
 #: Documents from which a shingle is frequent; most frequent ones; bits of the map; shingles counted in one piece.
 HOT, MOST_HOT, MAP_BITS, PIECE = 64, 1 << 20, 24, 1 << 21
-#: Bits of the parity map that a mark begins with.
+#: Bits of a parity map, at least; larger sets have twice to four times as many bits as elements.
 PARITY = 1024
 _U = np.uint64
 
@@ -110,7 +110,8 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
                 rank.append(int(1_000_000 * int(hot.sum()) / n))
                 first = prefix_length(n, percent)
                 prefixes = [np.sort(np.partition((hot << _U(63)) | (mix(s ^ _U(salt)) >> _U(1)), first - 1)[:first]) for salt in salts]
-                parity = np.packbits((np.bincount((s & _U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(bool))
+                bits = max(PARITY, 1 << (2 * n - 1).bit_length())
+                parity = np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
                 marks.append(parity.tobytes())
                 more.append(prefixes[0].tobytes() + b"".join((p >> _U(31)).astype(np.uint32).tobytes() for p in prefixes[1:]))
                 keys.append(prefixes[0].view(np.int64))
@@ -135,15 +136,37 @@ class _Orders:
         return (100 + self.percent) * differ <= (100 - self.percent) * both
 
     @staticmethod
-    def _parity(marks: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(marks), _U).reshape(len(marks), -1)
+    def _folded(marks: list[bytes], size: int) -> np.ndarray:
+        """Maps as rows of `size` bytes; a longer map is folded, which gives the shorter map of the same set."""
+        out = np.empty((len(marks), size // 8), _U)
+        for k, m in enumerate(marks):
+            out[k] = np.bitwise_xor.reduce(np.frombuffer(m, _U).reshape(-1, size // 8), axis=0)
+        return out
 
     def pairs(self, a, b, n_a, n_b):
-        return self._few(np.bitwise_count(self._parity(a) ^ self._parity(b)).sum(axis=1, dtype=np.int64), n_a + n_b)
+        size = np.minimum([len(x) for x in a], [len(x) for x in b])
+        ok = np.zeros(len(a), bool)
+        for one in np.unique(size):
+            at = np.flatnonzero(size == one)
+            differ = np.bitwise_count(self._folded([a[k] for k in at], one) ^ self._folded([b[k] for k in at], one)).sum(axis=1, dtype=np.int64)
+            ok[at] = self._few(differ, n_a[at] + n_b[at])
+        return ok
 
     def block(self, marks, n, here):
-        parity = self._parity(marks)
-        return lambda k, at: at[self._few(np.bitwise_count(parity[at] ^ parity[k]).sum(axis=1, dtype=np.int64), n[at] + n[k])]
+        sizes = np.array([len(m) for m in marks])
+        # For every size the rows that have it or a larger one, folded to it.
+        tables = {one: (np.cumsum(sizes >= one) - 1, self._folded([m for m in marks if len(m) >= one], one)) for one in np.unique(sizes)}
+
+        def passing(k, at):
+            kept = []
+            for one in np.unique(np.minimum(sizes[at], sizes[k])):
+                part = at[np.minimum(sizes[at], sizes[k]) == one]
+                row, table = tables[one]
+                differ = np.bitwise_count(table[row[part]] ^ table[row[k]]).sum(axis=1, dtype=np.int64)
+                kept.append(part[self._few(differ, n[part] + n[k])])
+            return np.sort(np.concatenate(kept))
+
+        return passing
 
     @staticmethod
     def _prefixes(more: bytes) -> list[np.ndarray]:
