@@ -28,8 +28,9 @@ from .common import materialise
 from .components import connected_components
 from .shingles import shingle_set
 
-#: Rows of a bucket that one block compares with another; partners of one hub whose sets one group checks.
-BLOCK, CHECKED = 256, 1024
+#: Rows of a bucket that one block compares with another; partners of one hub whose sets one group checks; ids up to which their
+#: table is broadcast to the texts (beyond, the texts are shuffled).
+BLOCK, CHECKED, FEW_IDS = 256, 1024, 500_000
 
 
 class Screen(Protocol):
@@ -44,8 +45,8 @@ class Screen(Protocol):
     def meet(self, a: bytes, b: bytes) -> bool:
         """Whether two that passed may still be linked, by `more` of both."""
 
-    def first(self, a: bytes, b: bytes, here: int) -> bool:
-        """Whether `here` is the first bucket that both are in, by `more` of both (True where block has seen to that)."""
+    def first(self, a: np.ndarray, b: np.ndarray, here: int) -> bool:
+        """Whether `here` is the first bucket that both are in, by the keys of both (True where block has seen to that)."""
 
 
 def _screened(screen: Screen):
@@ -94,13 +95,14 @@ def _partners(rows: list[tuple], percent: int, screen: Screen) -> Iterator[tuple
     """For each row k of a block (key, i, j, id, comp, n, side, mark), the later rows that may be linked with it: another
     component, sizes that allow it, and marks that pass. side: 0 at
     home and in the bucket's largest component, 1 at home and in another, 2 visiting. Rows at home meet visitors; two
-    that are both outside the largest component meet where the one with the lesser id is at home."""
+    that are both outside the largest component meet where the one with the lesser id is at home. In a bucket of one block
+    nobody visits: all have side 3 and meet."""
     comp, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
     side, ids = np.array([r[6] for r in rows]), np.array([r[3] for r in rows])
     passing = screen.block([r[7] for r in rows], n, rows[0][0])
     for k in range(len(rows) - 1):
         other, later = side[k + 1 :], ids[k + 1 :]
-        ok = (comp[k + 1 :] != comp[k]) & ((other == 2) != (side[k] == 2))
+        ok = (comp[k + 1 :] != comp[k]) & ((side[k] == 3) | ((other == 2) != (side[k] == 2)))
         if side[k] == 2:
             ok &= (other == 0) | (later < ids[k])
         elif side[k] == 1:
@@ -142,10 +144,10 @@ def _linked(percent: int, screen: Screen):
             for k, at in _partners(rows, percent, screen):
                 for x in at.tolist():
                     one, two = root(rows[k][4]), root(rows[x][4])
-                    if one == two or not screen.first(rows[k][8], rows[x][8], rows[k][0]) or not screen.meet(rows[k][8], rows[x][8]):
+                    if one == two or not screen.first(rows[k][9], rows[x][9], rows[k][0]) or not screen.meet(rows[k][8], rows[x][8]):
                         continue
-                    common = len(np.intersect1d(rows[k][9], rows[x][9], assume_unique=True))
-                    if 100 * common >= percent * (len(rows[k][9]) + len(rows[x][9]) - common):
+                    common = len(np.intersect1d(rows[k][10], rows[x][10], assume_unique=True))
+                    if 100 * common >= percent * (len(rows[k][10]) + len(rows[x][10]) - common):
                         parent[one] = two
                         found.append((rows[k][3], rows[x][3]))
             if found:
@@ -155,7 +157,8 @@ def _linked(percent: int, screen: Screen):
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents in ids."""
+    """(id, shingles) of the documents in ids, a written table."""
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     return materialise(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
 
 
@@ -232,12 +235,13 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     minor = F.col("comp") != F.col("major")
     at_home = F.transform(F.sequence(F.lit(0), visits - 1), lambda j: F.struct(home.alias("i"), j.alias("j"), minor.cast("int").alias("side")))
     visiting = F.transform(F.sequence(F.lit(0), homes - 1), lambda i: F.struct(i.alias("i"), visit.alias("j"), F.lit(2).alias("side")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("side")))
     marks = classes.select("id", "n", "mark")
-    spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
+    spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(F.col("rows") <= BLOCK, alone).when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
     columns = ["key", "i", "j", "id", "comp", "n", "side", "mark"]
     ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     late = materialise(ordered.mapInArrow(_with_partner(percent, screen), "key long, i long, j long, id long, comp long, side long"), "late")
     sets = _sets_of(materialise(late.select("id").distinct(), "ids"), docs, width)
-    again = late.join(classes.select("id", "n", "mark", "more"), "id").join(sets, "id").select(*columns, "more", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    again = late.join(classes.select("id", "n", "mark", "more", "keys"), "id").join(sets, "id").select(*columns, "more", "keys", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = materialise(again.mapInArrow(_linked(percent, screen), "a long, b long"), "more")
     return materialise(connected_components(links.unionByName(more)), "final")

@@ -113,7 +113,7 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
                 bits = max(PARITY, 1 << (2 * n - 1).bit_length())
                 parity = np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
                 marks.append(parity.tobytes())
-                more.append(prefixes[0].tobytes() + b"".join((p >> _U(31)).astype(np.uint32).tobytes() for p in prefixes[1:]))
+                more.append(b"".join((p >> _U(31)).astype(np.uint32).tobytes() for p in prefixes[1:]))
                 keys.append(prefixes[0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(rank, pa.int64()), pa.array(marks, pa.binary()), pa.array(more, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -124,9 +124,8 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
 
 
 class _Orders:
-    """Screens: first the parity maps, which differ in no more places than the sets do, then the prefixes of all orders. `more`
-    is the prefix of the first order (8 bytes an element, from which the keys are), then those of the others (4 bytes each: two
-    that agree in them pass for one, which lets a pair through and loses none)."""
+    """Screens: first the parity maps, which differ in no more places than the sets do, then the prefixes of the further orders. `more` has
+    these, 4 bytes an element: two that agree in them pass for one, which lets a pair through and loses none."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -169,15 +168,13 @@ class _Orders:
         return passing
 
     @staticmethod
-    def _prefixes(more: bytes) -> list[np.ndarray]:
-        size = len(more) // (8 + 4 * (ORDERS - 1))
-        return [np.frombuffer(more, np.int64, size), *(np.frombuffer(more, np.uint32, size, 8 * size + 4 * size * k) for k in range(ORDERS - 1))]
+    def meet(a, b):
+        one, two = (np.frombuffer(x, np.uint32).reshape(ORDERS - 1, -1) for x in (a, b))
+        return all(np.isin(x, y).any() for x, y in zip(one, two, strict=True))
 
-    def meet(self, a, b):
-        return all(np.isin(x, y).any() for x, y in zip(self._prefixes(a), self._prefixes(b), strict=True))
-
-    def first(self, a, b, here):
-        return int(np.intersect1d(self._prefixes(a)[0], self._prefixes(b)[0], assume_unique=True)[0]) == here
+    @staticmethod
+    def first(a, b, here):
+        return int(np.intersect1d(a, b, assume_unique=True)[0]) == here
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
