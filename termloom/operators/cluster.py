@@ -10,10 +10,21 @@ from .graph import checkpointed, components
 
 
 def shared_url_pairs(serp: DataFrame, threshold: int) -> DataFrame:
-    """serp(q, u) to (q1, q2, common) for pairs with at least `threshold` URLs in common."""
-    rows = serp.select("q", "u").distinct()
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.u") == F.col("b.u")) & (F.col("a.q") < F.col("b.q")))
-    return pairs.groupBy(F.col("a.q").alias("q1"), F.col("b.q").alias("q2")).agg(F.count("*").alias("common")).where(F.col("common") >= threshold)
+    """serp(q, u) to (q1, q2, common) for pairs with at least `threshold` URLs in common.
+
+    Exact prefix filter: of two queries that share `threshold` URLs, one is among the first size - threshold + 1 of each in the order of
+    the least frequent, so queries meet on these alone. A URL that very many queries show comes last and is met on only where a
+    query has fewer than `threshold` others; the common URLs of the pairs found are counted on the queries' own lists."""
+    rows = serp.select("q", "u").where("q is not null and u is not null").distinct()
+    often = rows.groupBy("u").agg(F.count("*").alias("f"))
+    ordered = rows.join(often, "u").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("f", "u"))).alias("w"))
+    ordered = checkpointed(ordered.where(F.size("w") >= max(threshold, 1)).select("q", F.transform("w", lambda x: x.u).alias("urls"), F.filter(F.slice("w", 1, F.size("w") - max(threshold, 1) + 1), lambda x: x.f > 1).alias("first")))
+    keys = ordered.select("q", F.explode("first").alias("k")).select("q", "k.u")
+    one, two = keys.select(F.col("q").alias("q1"), "u"), keys.select(F.col("q").alias("q2"), "u")
+    met = one.join(two, "u").where("q1 < q2").select("q1", "q2").distinct()
+    lists = ordered.select("q", "urls")
+    both = met.join(lists.select(F.col("q").alias("q1"), F.col("urls").alias("urls1")), "q1").join(lists.select(F.col("q").alias("q2"), F.col("urls").alias("urls2")), "q2")
+    return both.select("q1", "q2", F.size(F.array_intersect("urls1", "urls2")).cast("long").alias("common")).where(F.col("common") >= threshold)
 
 
 def soft_clusters(serp: DataFrame, threshold: int = 7) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import native, roles, rules, rules_sql, statements
+from . import analysis, native, roles, rules, rules_sql, statements
 from .dialect import bind, spell, with_roles
 
 
@@ -25,11 +25,11 @@ def _query(name: str):
 
 
 def queries() -> dict:
-    return {name: _query(name) for name in statements.STATEMENTS} | native.QUERIES | rules.QUERIES
+    return {name: _query(name) for name in statements.STATEMENTS} | native.QUERIES | rules.QUERIES | analysis.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     def sql(text: str) -> str:
         return spell(with_roles(text, {r: roles.ROLES[r] for r in roles.used(text, roles.ROLES)}), spark=False).replace(" AS STRING)", " AS VARCHAR)")
 
-    return {name: sql(text) for name, text in statements.STATEMENTS.items()} | {name: sql(text) for name, text in native.SQL.items()} | rules_sql.oracle_sql()
+    return {name: sql(text) for name, text in statements.STATEMENTS.items()} | {name: sql(text) for name, text in native.SQL.items()} | rules_sql.oracle_sql() | analysis.oracle_sql()

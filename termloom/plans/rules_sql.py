@@ -58,7 +58,7 @@ SQL["c9_content_intent"] = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_a
   a AS (SELECT t.doc_id, coalesce(c, 0) AS c, coalesce(i, 0) AS i FROM texts t LEFT JOIN s ON s.doc_id = t.doc_id)
   SELECT doc_id, c AS commercial, i AS informational, CASE WHEN i > c THEN 'informational' ELSE 'commercial' END AS intent, round(CASE WHEN c = i THEN 0.5e0 ELSE greatest(c, i) * 1e0 / (c + i) END, 6) AS confidence FROM a"""
 SQL["c11_domain_intent"] = """WITH k AS (SELECT domain, max(class) AS class FROM links GROUP BY domain),
-  s AS (SELECT q, round(count_if(k.class = 'commercial') * 1e0 / count(*), 3) AS c, round(count_if(k.class = 'informational') * 1e0 / count(*), 3) AS i FROM links l LEFT JOIN k ON k.domain = l.domain WHERE position <= 10 GROUP BY q)
+  s AS (SELECT q, round(count(*) FILTER (WHERE k.class = 'commercial') * 1e0 / count(*), 3) AS c, round(count(*) FILTER (WHERE k.class = 'informational') * 1e0 / count(*), 3) AS i FROM links l LEFT JOIN k ON k.domain = l.domain WHERE position <= 10 GROUP BY q)
   SELECT q, c AS commercial, i AS informational, CASE WHEN c >= 0.5e0 THEN 'commercial' WHEN i >= 0.5e0 THEN 'informational' ELSE 'unknown' END AS intent, CASE WHEN c >= 0.5e0 THEN c WHEN i >= 0.5e0 THEN i ELSE greatest(c, i) END AS confidence FROM s"""
 SQL["c16_brand_query_type"] = f"""SELECT row_id, CASE WHEN NOT brand THEN 'non_brand' WHEN {_HAS.format(_COMM)} THEN 'brand_commercial' WHEN {_HAS.format(_INFO)} THEN 'brand_info'
   WHEN {_HAS.format("'сайт', 'официальный', 'контакты'")} THEN 'brand_navigational' WHEN regexp_matches(keyword, '[0-9]') THEN 'brand_model' ELSE 'brand_pure' END AS kind FROM phrases"""

@@ -170,7 +170,6 @@ _S["g7_url_list"] = "SELECT q, LIST_JOIN(LIST_SORT(COLLECT(url)), '|') AS urls F
 _S["t1_ttl"] = "SELECT event_id, updated_at >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 DAYS AS fresh FROM status_log"
 _S["c7_domain_adjustment"] = "SELECT row_id, CASE WHEN m / 20 >= 0.6e0 THEN 'commercial' WHEN 1 - m / 20 >= 0.6e0 THEN 'informational' ELSE main_intent END AS intent, round(greatest(m / 20, 1 - m / 20) * 10, 6) AS score FROM kw"
 _S["c13_page_type"] = "SELECT row_id, CASE WHEN main_intent = 'informational' THEN 'article' WHEN brand > 0 AND main_intent LIKE 'commercial%' THEN 'product' WHEN main_intent LIKE 'commercial%' THEN CASE WHEN w > 700 THEN 'category' ELSE 'filter' END WHEN main_intent = 'navigational' THEN 'main' ELSE 'other' END AS page_type FROM kw"
-_S["c14_brand_tokens"] = "SELECT row_id, word, CASE WHEN MATCHES(word, '^[A-Z]{2,5}$') THEN 0.9e0 WHEN MATCHES(word, '^[A-Za-z]+[0-9]+$') THEN 0.8e0 WHEN MATCHES(word, '^[a-z]{3,}$') THEN 0.7e0 ELSE 0e0 END AS confidence FROM (SELECT row_id, EXPLODE(SPLIT_RX(keyword, ' +')) AS word FROM kw) x"
 # Two keywords are compatible if they are in one class, named by its least row_id; a keyword without a cluster is in none.
 _S["c22_geo_compatible"] = "SELECT k.row_id, k.cluster_id, k.geo, c.class FROM kw k JOIN (SELECT cluster_id, geo, min(row_id) AS class FROM kw GROUP BY cluster_id, geo) c ON c.cluster_id = k.cluster_id AND c.geo IS NOT DISTINCT FROM k.geo"
 # Of links equally strong, those by URLs come first.
