@@ -115,12 +115,16 @@ def _partners(rows: list[tuple], percent: int, screen: Screen) -> Iterator[tuple
             yield k, at
 
 
-def _with_partner(percent: int, screen: Screen):
-    """The rows of a block that have a partner, once each."""
+def _with_partner(percent: int, screen: Screen, first: bool = False):
+    """The rows of a block that have a partner, once each; with `first`, one that the second screen lets pass and that meets them in
+    no earlier bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 3):
-            found = {x for k, at in _partners(rows, percent, screen) for x in (k, *at.tolist())}
+            found: set[int] = set()
+            for k, at in _partners(rows, percent, screen):
+                near = [x for x in at.tolist() if not first or (screen.first(rows[k][9], rows[x][9], rows[k][0]) and screen.meet(rows[k][8], rows[x][8]))]
+                found.update([k, *near] if near else [])
             if found:
                 yield pa.RecordBatch.from_pydict({name: [rows[x][c] for x in sorted(found)] for name, c in (("key", 0), ("i", 1), ("j", 2), ("id", 3), ("comp", 4), ("side", 6))})
 
@@ -156,10 +160,14 @@ def _linked(percent: int, screen: Screen):
     return run
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ids(id), a written table."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+
+
 def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the documents in ids, a written table."""
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    return materialise(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+    return materialise(_only(docs, ids).dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
 
 
 def _checked(percent: int):
@@ -220,7 +228,7 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     near = stars.join(two, "b").join(one, "a").where(sized).select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(_screened(screen), "a long, b long")
     near = materialise(near, "near")
-    rest = classes.select("id", "more")
+    rest = _only(classes.select("id", "more"), materialise(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
     near = near.join(rest.select(F.col("id").alias("b"), F.col("more").alias("more_b")), "b").join(rest.select(F.col("id").alias("a"), F.col("more").alias("more_a")), "a")
     near = near.select("a", "b", "more_a", "more_b").mapInArrow(_meeting(screen), "a long, b long")
     links = materialise(_confirmed(materialise(near, "meeting"), docs, width, percent), "links")
@@ -241,7 +249,11 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     columns = ["key", "i", "j", "id", "comp", "n", "side", "mark"]
     ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     late = materialise(ordered.mapInArrow(_with_partner(percent, screen), "key long, i long, j long, id long, comp long, side long"), "late")
+    held = _only(classes.select("id", "n", "mark", "more", "keys"), materialise(late.select("id").distinct(), "ids"))
+    columns += ["more", "keys"]
+    ordered = late.join(held, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    late = materialise(ordered.mapInArrow(_with_partner(percent, screen, True), "key long, i long, j long, id long, comp long, side long"), "first")
     sets = _sets_of(materialise(late.select("id").distinct(), "ids"), docs, width)
-    again = late.join(classes.select("id", "n", "mark", "more", "keys"), "id").join(sets, "id").select(*columns, "more", "keys", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    again = late.join(held, "id").join(sets, "id").select(*columns, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = materialise(again.mapInArrow(_linked(percent, screen), "a long, b long"), "more")
     return materialise(connected_components(links.unionByName(more)), "final")

@@ -35,8 +35,8 @@ from .shingles import mix, shingle_set
 ORDERS = 3
 #: Documents from which a shingle is frequent; most frequent ones; bits of the map; shingles counted in one piece.
 HOT, MOST_HOT, MAP_BITS, PIECE = 64, 1 << 20, 24, 1 << 21
-#: Bits of a parity map, at least; larger sets have twice to four times as many bits as elements.
-PARITY = 1024
+#: Bits of a parity map, at least; larger sets have once to twice as many bits as elements.
+PARITY = 512
 _U = np.uint64
 
 
@@ -110,7 +110,7 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
                 rank.append(int(1_000_000 * int(hot.sum()) / n))
                 first = prefix_length(n, percent)
                 prefixes = [np.sort(np.partition((hot << _U(63)) | (mix(s ^ _U(salt)) >> _U(1)), first - 1)[:first]) for salt in salts]
-                bits = max(PARITY, 1 << (2 * n - 1).bit_length())
+                bits = max(PARITY, 1 << (n - 1).bit_length())
                 parity = np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
                 marks.append(parity.tobytes())
                 more.append(b"".join((p >> _U(31)).astype(np.uint32).tobytes() for p in prefixes[1:]))
