@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that executors share (spark.checkpoint.dir; one of our own in local mode)."""
+    """df, written once to the folder that executors share (spark.checkpoint.dir; one of our own in local mode) and read back: lineage
+    ends there, a lost executor costs no rerun, and the plans that follow know the table's true size (a checkpoint of Spark's own keeps
+    the estimate of its plan, which multiplies from join to join in a loop)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
