@@ -85,9 +85,10 @@ def adjacency_matrix(edges: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def graph_export(edges: DataFrame, features: DataFrame) -> DataFrame:
-    """(json): one object with nodes, each with its features, and edges, in order."""
-    row = lambda df, key: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(key))
-    return row(features, "nodes").join(row(edges, "edges")).select(F.to_json(F.struct("nodes", "edges")).alias("json"))
+    """(part, json): a JSON object for each node with its features (part 'nodes') and for each edge ('edges'), so that a graph of any size is
+    written as lines by many tasks."""
+    row = lambda df, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*df.columns)).alias("json"))
+    return row(features, "nodes").unionByName(row(edges, "edges"))
 
 
 def node_features(edges: DataFrame) -> DataFrame:

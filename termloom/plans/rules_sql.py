@@ -118,7 +118,9 @@ SQL["z1_cluster_report"] = """WITH s AS (SELECT cluster_id, u FROM serp JOIN kw
   SELECT x.cluster_id, count(*) AS n, CAST(trunc(sum(w)) AS BIGINT) AS total, arg_min(keyword, r) AS main_keyword, coalesce(any_value(popular_urls), 0) AS popular_urls
   FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY w DESC, row_id) AS r FROM phrases) x LEFT JOIN p ON p.cluster_id = x.cluster_id GROUP BY x.cluster_id"""
 SQL["z13_top_domains"] = "SELECT class, domain, count(*) AS n FROM links WHERE class IS NOT NULL GROUP BY class, domain QUALIFY row_number() OVER (PARTITION BY class ORDER BY count(*) DESC, domain) <= 30"
-SQL["z14_pages_of_query"] = "SELECT url, q, position FROM serp WHERE u % 100 = 1 AND position < 4"
+SQL["l20_graph_export"] = """WITH ends AS (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges), k AS (SELECT node, count(DISTINCT other) AS degree FROM ends GROUP BY node)
+  SELECT 'nodes' AS part, concat('{"node":', node, ',"degree":', degree, '}') AS json FROM k UNION ALL SELECT 'edges', concat('{"src":', src, ',"dst":', dst, '}') FROM edges"""
+SQL["z14_pages_of_query"] = "SELECT url, q, position FROM serp WHERE position < 4"
 SQL["z19_ngram_set"] = "SELECT row_id, array_to_string(list_sort(list_distinct(list_concat(string_split(keyword, ' '), CASE WHEN contains(keyword, ' ') THEN [keyword] ELSE [] END))), '|') AS grams FROM kw"
 _BEST = """WITH c AS (SELECT q, position, CASE u % 4 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS n, CASE u % 4 WHEN 1 THEN 'Каталог > Раздел ' || (u % 10) WHEN 2 THEN 'Каталог > Трубы > Вид ' || (u % 10) END AS crumbs FROM serp),
   b AS (SELECT q, crumbs FROM c WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY n DESC, position) = 1)"""

@@ -24,7 +24,7 @@ _S["j1_left_join_defaults"] = "SELECT row_id, k.keyword, coalesce(n, 0) AS urls
 _S["j2_ads_join"] = "SELECT k.row_id, k.keyword, coalesce(a.shows, 0e0) AS shows, coalesce(a.cpc, 0e0) AS cpc, coalesce(a.competition, 'unknown') AS competition FROM kw k LEFT JOIN (SELECT * FROM ads WHERE shows > 500) a ON k.row_id = a.row_id"
 _S["j3_cluster_attributes"] = "SELECT k.row_id, k.cluster_id, c.size, c.total FROM kw k LEFT JOIN (SELECT cluster_id, count(*) AS size, CAST(sum(frequency_world) AS BIGINT) AS total FROM kw GROUP BY cluster_id) c ON k.cluster_id = c.cluster_id"
 _S["j4_forms_default"] = "SELECT k.row_id, coalesce(f.form, k.keyword) AS form FROM kw k LEFT JOIN (SELECT row_id, concat('of ', keyword) AS form FROM (SELECT row_id, keyword, row_number() OVER (ORDER BY frequency_world DESC, row_id) AS r FROM kw) x WHERE r <= 1000) f ON k.row_id = f.row_id"
-_S["j6_results_documents"] = "SELECT o.o_orderkey, l.l_linenumber, o.o_orderstatus FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority LIKE '1%'"
+_S["j6_results_documents"] = "SELECT o.o_orderkey, l.l_linenumber, o.o_orderstatus FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey"
 _PAIRS = "SELECT a.q AS q1, b.q AS q2, count(*) AS common FROM serp a JOIN serp b ON a.u = b.u AND a.q < b.q GROUP BY a.q, b.q"
 _S["j7_shared_url_pairs"] = f"{_PAIRS} HAVING count(*) >= 3"
 _S["j8_candidates_of_query"] = "SELECT b.q AS candidate, count(*) AS common FROM serp a JOIN serp b ON a.u = b.u AND a.q <> b.q WHERE a.q = 1 GROUP BY b.q HAVING count(*) >= 1"
@@ -47,7 +47,7 @@ _S["a3_status_share"] = "SELECT status, count(*) AS n, round(100e0 * count(*) /
 _S["a4_top_errors"] = "SELECT message, count(*) AS n FROM status_log WHERE message IS NOT NULL GROUP BY message ORDER BY n DESC, message LIMIT 20"
 _S["a5_count_by_group"] = "SELECT group_name, count(*) AS n FROM status_log GROUP BY group_name"
 _S["a6_distinct_groups"] = "SELECT count(DISTINCT group_name) AS n FROM status_log"
-_S["a7_group_exists"] = "SELECT count(*) > 0 AS found FROM kw WHERE group_name = 'Brand#11'"
+_S["a7_group_exists"] = "SELECT g.group_name, count(k.row_id) > 0 AS found FROM (SELECT group_name FROM kw UNION SELECT group_name FROM status_log) g LEFT JOIN kw k ON k.group_name = g.group_name GROUP BY g.group_name"
 _S["a8_unique_keywords"] = "SELECT count(DISTINCT keyword) AS n FROM kw"
 _S["a9_metric_summary"] = f"WITH x AS (SELECT {METRICS['kei_standard']} AS v FROM kw) SELECT round(avg(v), 4) AS mean, round(median(v), 4) AS middle, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS least, round(max(v), 4) AS most FROM x"
 _S["a10_price_statistics"] = "SELECT q, round(avg(price), 4) AS mean, min(price) AS least, max(price) AS most, round(median(price), 4) AS middle, min_by(currency, position * 1000000 + price) AS currency, count(*) AS n, count(oldprice) AS discounts, round(avg(CASE WHEN oldprice IS NOT NULL THEN discount END), 4) AS mean_discount FROM offers GROUP BY q"
