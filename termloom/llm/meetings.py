@@ -214,9 +214,10 @@ def _meeting(screen: Screen):
     return run
 
 
-def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent: int, screen: Screen) -> DataFrame:
+def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent: int, screen: Screen, block: int | None = None) -> DataFrame:
     """(node, component) of the classes (id, n, rank, mark, more, keys) that are linked with another one. docs(id, text) has the
-    texts of their ids. A bucket's centre is its class of the highest rank, of equals the one of the least id."""
+    texts of their ids; block: rows of a block, BLOCK by default. A bucket's centre is its class of the highest rank, of equals the one of the least id."""
+    block = block or BLOCK
     rows = classes.select("id", "rank", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.max(F.struct(F.col("rank"), (-F.col("id")).alias("minus"))).alias("c"), F.count("*").alias("rows")).where("rows > 1")
     buckets = materialise(buckets.select("key", (-F.col("c.minus")).alias("centre"), "rows"), "buckets")
@@ -238,14 +239,14 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     placed = others.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     sized = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = materialise(sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), (F.sum("c") - F.max("c")).alias("minors"), F.sum("c").alias("rows")).where("minors > 0"), "mixed")
-    homes, visits = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("rows", "minors"))
+    homes, visits = (F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int") for c in ("rows", "minors"))
     home, visit = (F.pmod(F.xxhash64("id"), n).cast("int") for n in (homes, visits))
     minor = F.col("comp") != F.col("major")
     at_home = F.transform(F.sequence(F.lit(0), visits - 1), lambda j: F.struct(home.alias("i"), j.alias("j"), minor.cast("int").alias("side")))
     visiting = F.transform(F.sequence(F.lit(0), homes - 1), lambda i: F.struct(i.alias("i"), visit.alias("j"), F.lit(2).alias("side")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("side")))
     marks = classes.select("id", "n", "mark")
-    spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(F.col("rows") <= BLOCK, alone).when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
+    spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(F.col("rows") <= block, alone).when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
     columns = ["key", "i", "j", "id", "comp", "n", "side", "mark"]
     ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     late = materialise(ordered.mapInArrow(_with_partner(percent, screen), "key long, i long, j long, id long, comp long, side long"), "late")

@@ -121,7 +121,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known.groupBy("n", "digest").agg(F.min_by(F.struct("sig", "keys"), "id").alias("s"), F.min("id").alias("id")).select("n", "digest", "id", F.lit(0).alias("rank"), F.col("s.sig").alias("mark"), F.lit(b"").alias("more"), "s.keys"),
         "classes",
     )
-    final = linked_components(classes, own, width, percent, _Signatures(screen))
+    final = linked_components(classes, own, width, percent, _Signatures(screen), 1024)
 
     answer = materialise(
         classes.select("n", "digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component_id")),
