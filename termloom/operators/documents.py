@@ -18,14 +18,15 @@ def domain_of(url: Column) -> Column:
 
 
 def normal_documents(stored: Column) -> Column:
-    """Documents from any stored form: a JSON list of objects or of URLs, or URLs parted by | or, without one, by commas.
+    """Documents from any stored form: a JSON list of objects or of URLs, URLs parted by | or, without one, by commas, or one URL
+    with its scheme (a list of one has nothing that parts it).
 
     Rows are array<struct<DOCUMENT>>; entries without a URL go, but count for the position of those after them. Null, empty
     and unreadable values give an empty list."""
     fields = [f.rsplit(" ", 1) for f in DOCUMENT.split(", ")]
     text = F.trim(stored)
     listed = F.from_json(F.when(text.startswith("["), text), "array<string>")
-    separated = F.when(~text.startswith("[") & ~text.startswith("{") & text.contains("|"), F.split(text, r"\|")).when(~text.startswith("[") & ~text.startswith("{") & text.contains(","), F.split(text, ","))
+    separated = F.when(~text.startswith("[") & ~text.startswith("{") & text.contains("|"), F.split(text, r"\|")).when(~text.startswith("[") & ~text.startswith("{") & text.contains(","), F.split(text, ",")).when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://\S+$"), F.array(text))
     entries = F.coalesce(listed, separated, F.array().cast("array<string>"))
 
     def entry(x: Column, i: Column) -> Column:

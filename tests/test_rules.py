@@ -68,6 +68,12 @@ def test_stored_lists_of_all_forms(spark):
     assert got[8] == [(1, "http://a.ru", "a.ru", "")] and got[9] == [(1, "http://a.ru", "a.ru", "t"), (9, "u.ru", "u.ru", "")]
 
 
+def test_a_lone_url_is_a_list_of_one(spark):
+    forms = spark.createDataFrame([(0, " https://www.A.ru/x?y=1 "), (1, "just words"), (2, "a.ru")], "k int, f string")
+    got = [[(d.position, d.url, d.domain) for d in r.d] for r in forms.orderBy("k").select(documents.normal_documents(F.col("f")).alias("d")).collect()]
+    assert got == [[(1, "https://www.A.ru/x?y=1", "a.ru")], [], []]
+
+
 def test_covered_phrases_go_and_chains_stay(spark):
     """A phrase that a removed one covers stays, as does one more than twice as frequent."""
     rows = [(1, "a b c d", 5, "t"), (1, "a b c", 30, "t"), (1, "b c d", 10, "s"), (1, "a b", 60, "t"), (1, "c d", 21, "t"), (1, "c d", 1, "s"), (2, "a b", 1, "t"), (1, " ", 9, "t"), (1, None, 9, "t")]
