@@ -74,9 +74,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
     return ranks
 
 
+def adjacency_cells(edges: DataFrame) -> DataFrame:
+    """(node, other, links): the cells of the adjacency matrix that aren't 0, both ways, for graphs of any size."""
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+    return both.groupBy("node", "other").agg(F.count("*").alias("links"))
+
+
 def adjacency_matrix(edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, a column for every node): the number of links between two nodes, both ways. ValueError beyond `most` nodes,
-    since a table can't be wider; use the edge list then."""
+    since a table can't be wider; use adjacency_cells then."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nodes = [r.src for r in both.select("src").distinct().orderBy("src").limit(most + 1).collect()]
     if len(nodes) > most:

@@ -151,9 +151,7 @@ def a25_cluster_summary(spark, d):
 
 
 def k16_adjacency(spark, d):
-    both = graph.adjacency_matrix(role(spark, d, "edges"), most=5000)
-    nodes = [c for c in both.columns if c != "node"]
-    return both.select("node", F.posexplode(F.array(*[F.col(f"`{c}`") for c in nodes])).alias("at", "links")).where("links > 0").select("node", F.element_at(F.array(*[F.lit(int(c)) for c in nodes]), F.col("at") + 1).cast("long").alias("other"), "links")
+    return graph.adjacency_cells(role(spark, d, "edges"))
 
 
 def l20_graph_export(spark, d):

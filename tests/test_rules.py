@@ -68,6 +68,15 @@ def test_stored_lists_of_all_forms(spark):
     assert got[8] == [(1, "http://a.ru", "a.ru", "")] and got[9] == [(1, "http://a.ru", "a.ru", "t"), (9, "u.ru", "u.ru", "")]
 
 
+def test_adjacency_of_more_nodes_than_columns(spark, tmp_path):
+    """6,000 suppliers, each linked with one of 97 parts: more nodes than a table can be wide."""
+    rows = spark.range(6000).selectExpr("id + 1000 as l_suppkey", "id as l_partkey")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.QUERIES["k16_adjacency"](spark, str(tmp_path)).collect()
+    want = {(k + 1000, k % 97 + 1) for k in range(6000)}
+    assert {(r.node, r.other, r.links) for r in got} == {(a, b, 1) for a, b in want} | {(b, a, 1) for a, b in want} and len(got) == 12000
+
+
 def test_a_lone_url_is_a_list_of_one(spark):
     forms = spark.createDataFrame([(0, " https://www.A.ru/x?y=1 "), (1, "just words"), (2, "a.ru")], "k int, f string")
     got = [[(d.position, d.url, d.domain) for d in r.d] for r in forms.orderBy("k").select(documents.normal_documents(F.col("f")).alias("d")).collect()]
