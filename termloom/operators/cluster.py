@@ -3,28 +3,41 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import checkpointed, components
 
 
-def shared_url_pairs(serp: DataFrame, threshold: int) -> DataFrame:
-    """serp(q, u) to (q1, q2, common) for pairs with at least `threshold` URLs in common.
+def _met(serp: DataFrame, threshold: int, apart: Column | None = None) -> DataFrame:
+    """(q1, q2, common, n1, n2) for the pairs q1 < q2 with at least `threshold` (1 or more) URLs in common; n1 and n2 are their numbers of
+    URLs. apart is an expression of q: only queries that it gives the same value meet.
 
     Exact prefix filter: of two queries that share `threshold` URLs, one is among the first size - threshold + 1 of each in the order of
     the least frequent, so queries meet on these alone. A URL that very many queries show comes last and is met on only where a
-    query has fewer than `threshold` others; the common URLs of the pairs found are counted on the queries' own lists."""
+    query has fewer than `threshold` others. Lists travel with the queries to each URL that they meet on, and a pair counts at the first URL
+    that both have, so what is shuffled grows with the lists and not with the pairs that meet, and no pair is grouped again."""
     rows = serp.select("q", "u").where("q is not null and u is not null").distinct()
     often = rows.groupBy("u").agg(F.count("*").alias("f"))
     ordered = rows.join(often, "u").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("f", "u"))).alias("w"))
-    ordered = checkpointed(ordered.where(F.size("w") >= max(threshold, 1)).select("q", F.transform("w", lambda x: x.u).alias("urls"), F.filter(F.slice("w", 1, F.size("w") - max(threshold, 1) + 1), lambda x: x.f > 1).alias("first")))
-    keys = ordered.select("q", F.explode("first").alias("k")).select("q", "k.u")
-    one, two = keys.select(F.col("q").alias("q1"), "u"), keys.select(F.col("q").alias("q2"), "u")
-    met = one.join(two, "u").where("q1 < q2").select("q1", "q2").distinct()
-    lists = ordered.select("q", "urls")
-    both = met.join(lists.select(F.col("q").alias("q1"), F.col("urls").alias("urls1")), "q1").join(lists.select(F.col("q").alias("q2"), F.col("urls").alias("urls2")), "q2")
-    return both.select("q1", "q2", F.size(F.array_intersect("urls1", "urls2")).cast("long").alias("common")).where(F.col("common") >= threshold)
+    ordered = ordered.where(F.size("w") >= threshold).select("q", F.transform("w", lambda x: x.u).alias("urls"), F.transform(F.filter(F.slice("w", 1, F.size("w") - threshold + 1), lambda x: x.f > 1), lambda x: x.u).alias("first"))
+    keys = checkpointed(ordered).select("q", "urls", F.explode("first").alias("u"))
+    keys, by = (keys, ["u"]) if apart is None else (keys.withColumn("apart", apart), ["u", "apart"])
+    one, two = (keys.select(F.col("q").alias(f"q{k}"), F.col("urls").alias(f"urls{k}"), *by) for k in (1, 2))
+    both = one.hint("merge").join(two, by).where("q1 < q2")
+    # As a generator, the intersection is made once a pair; its order is that of the lists.
+    common = F.filter(F.array(F.array_intersect("urls1", "urls2")), lambda c: (F.size(c) >= threshold) & (F.get(c, F.lit(0)) == F.col("u")))
+    return both.select("q1", "q2", F.size("urls1").alias("n1"), F.size("urls2").alias("n2"), F.explode(F.transform(common, lambda c: F.size(c).cast("long"))).alias("common"))
+
+
+def shared_url_pairs(serp: DataFrame, threshold: int, apart: Column | None = None) -> DataFrame:
+    """serp(q, u) to (q1, q2, common) for pairs with at least `threshold` URLs in common, one if that is less; apart as for `_met`."""
+    return _met(serp, max(threshold, 1), apart).select("q1", "q2", "common")
+
+
+def jaccard_pairs(serp: DataFrame) -> DataFrame:
+    """serp(q, u) to (q1, q2, jaccard) for pairs with a URL in common: their common URLs over all of both."""
+    return _met(serp, 1).select("q1", "q2", (F.col("common") * 1.0 / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
 
 
 def soft_clusters(serp: DataFrame, threshold: int = 7) -> DataFrame:

@@ -17,6 +17,11 @@ def _words(spark, d):
 
 
 QUERIES = {
+    # Pairs that statements join on every URL and group; their SQL stays.
+    "j7_shared_url_pairs": lambda spark, d: cluster.shared_url_pairs(role(spark, d, "serp"), 3),
+    "l2_overlaps_in_clusters": lambda spark, d: cluster.shared_url_pairs(role(spark, d, "serp"), 1, F.col("q") % 40),
+    "u1_common_urls": lambda spark, d: cluster.shared_url_pairs(role(spark, d, "serp"), 1),
+    "u2_jaccard": lambda spark, d: cluster.jaccard_pairs(role(spark, d, "serp")).withColumn("jaccard", F.round("jaccard", 6)),
     "l1_iterative_clusters": lambda spark, d: cluster.iterative_clusters(role(spark, d, "serp"), low=3, high=10),
     "l4_soft_clusters": lambda spark, d: cluster.soft_clusters(role(spark, d, "serp"), threshold=3),
     "l5_split_clusters": lambda spark, d: refine.split_clusters(s := role(spark, d, "serp"), cluster.soft_clusters(s, threshold=2), cap=100, base=2, most=6),

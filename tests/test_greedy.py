@@ -6,7 +6,12 @@ from collections import Counter
 
 import pytest
 
+import __spark_entry__
 from termloom.operators import cluster, communities, fulllink, wordmatch
+from termloom.plans import catalogue
+from termloom.plans.roles import role
+
+SF = "/root/testdata/sf0.001"
 
 
 def modularity(edges, label, resolution=1.0):
@@ -174,6 +179,19 @@ def test_word_match_equals_the_sequential_rule(spark, monkeypatch, batch, streng
     assert all(2 * r.n >= r.size for r in details.collect())
 
 
+def test_shared_url_pairs_shuffle_lists_and_no_pairs(spark):
+    """Both sides of one join are shuffled, nothing after it: pairs that meet are neither grouped nor joined again."""
+    plan = cluster.shared_url_pairs(spark.createDataFrame([(1, 1), (2, 1)], "q long, u long"), 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1 and "Aggregate" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["j7_shared_url_pairs", "l2_overlaps_in_clusters", "u1_common_urls", "u2_jaccard"])
+def test_pairs_of_the_operator_equal_the_statement(spark, name):
+    got = __spark_entry__.queries()[name](spark, SF)
+    want = catalogue.apply(spark, name, serp=role(spark, SF, "serp"))
+    assert got.select(*want.columns).exceptAll(want).isEmpty() and got.count() == want.count() > 0
+
+
 def test_shared_url_pairs_by_prefix_equal_brute_force(spark):
     rng = random.Random(4)
     serp = [(q, u) for q in range(80) for u in {rng.choice([0, 1, rng.randrange(12), rng.randrange(60)]) for _ in range(rng.randrange(1, 15))}]
