@@ -102,3 +102,20 @@ def test_bounds_save_most_visits_of_clustered_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     made, without = vectors.cell_visits(spark.createDataFrame(clustered(400, 24, 6), SHAPE), 0.9)
     assert 0 < without and made < 0.35 * without
+
+
+def test_visitors_of_a_block_are_split_and_no_pair_is_lost(spark, monkeypatch):
+    """Nothing bounds random directions, so every row visits every later block; no task gets more than a few groups of them."""
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "PIVOTS", 4)
+    monkeypatch.setattr(vectors, "SPAN", 2)
+    v = np.random.default_rng(5).normal(size=(400, 6))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    placed = vectors._placed(vectors.checkpointed(vectors.unit_vectors(rows)))
+    sent = placed[0].select("id", "v", "d", "home").mapInPandas(vectors._visits(*placed[1:], 2.0), "block long, part long, kind int, id long, v array<double>")
+    sizes = {(r.block, r.part): r["count"] for r in sent.groupBy("block", "part").count().collect()}
+    most = max(r["count"] for r in placed[0].groupBy("home").count().collect())
+    assert len({b for b, _ in sizes}) >= 20 and max(sizes.values()) <= 3 * most
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in np.argwhere(u @ u.T >= 0.5) if a < b}
+    assert {(r.a, r.b) for r in vectors.cosine_pairs(rows, 0.5).collect()} == want
