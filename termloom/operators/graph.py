@@ -25,17 +25,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """edges(src, dst) to (node, component): the least node of each connected part. Each round takes the least label
-    around a node and then that label's own label, so long paths shrink fast."""
+    around a node and then that label's own label, so long paths shrink fast. Labels are merged, never broadcast, so nothing that grows
+    with the nodes passes through the driver."""
     # Both ways by one pass over edges, which may be a whole join that isn't written yet.
     ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
     both = checkpointed(edges.select(ways).select("e.src", "e.dst").distinct())
     labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
     for _ in range(rounds):
-        around = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(around, "node").select("node", F.least("component", "near").alias("label"))
+        around = both.join(labels.hint("merge"), both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        step = labels.hint("merge").join(around, "node").select("node", F.least("component", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("component").alias("next"))
-        new = checkpointed(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("component")))
-        if new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
+        new = checkpointed(step.join(jump.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("component")))
+        if new.hint("merge").join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
             return new
         labels = new
     raise RuntimeError("components did not settle")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +17,19 @@ def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
     are no edges; of parallel ones the least counts."""
     own = edges.where("src <> dst and distance is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("distance").cast("double").alias("height"))
     own = checkpointed(own.groupBy("a", "b").agg(F.min("height").alias("height")))
-    taken, parts = own.limit(0), None
-    left = own.select("a", "b", "height", F.col("a").alias("x"), F.col("b").alias("y"))
+    rounds_taken = []
+    left = own.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("height", "a", "b").alias("e"))
     for _ in range(rounds):
-        ends = left.select(F.col("x").alias("part"), "a", "b", "height").unionByName(left.select(F.col("y").alias("part"), "a", "b", "height"))
-        least = ends.groupBy("part").agg(F.min(F.struct("height", "a", "b")).alias("e")).select("e.a", "e.b", "e.height").distinct()
-        taken = checkpointed(taken.unionByName(least))
-        parts = components(taken.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        one, two = (parts.select(F.col("node").alias(k), F.col("component").alias(p)) for k, p in (("a", "x"), ("b", "y")))
-        left = checkpointed(own.join(one, "a").join(two, "b").where("x <> y").select("a", "b", "height", "x", "y"))
+        ends = left.select(F.col("x").alias("part"), "x", "y", "e").unionByName(left.select(F.col("y").alias("part"), "x", "y", "e"))
+        least = checkpointed(ends.groupBy("part").agg(F.min(F.struct("e", "x", "y")).alias("m")).select("m.e", "m.x", "m.y").distinct())
+        rounds_taken.append(least.select("e.a", "e.b", "e.height"))
+        # Parts that the edges join become the nodes of the next round; of the edges between two of them the least is left.
+        parts = components(least.select(F.col("x").alias("src"), F.col("y").alias("dst")))
+        one, two = (parts.select(F.col("node").alias(k), F.col("component").alias(p)).hint("merge") for k, p in (("x", "p"), ("y", "r")))
+        moved = left.join(one, "x").join(two, "y").where("p <> r").select(F.least("p", "r").alias("x"), F.greatest("p", "r").alias("y"), "e")
+        left = checkpointed(moved.groupBy("x", "y").agg(F.min("e").alias("e")))
         if left.isEmpty():
-            return taken
+            return checkpointed(reduce(DataFrame.unionByName, rounds_taken))
     raise RuntimeError(f"forest not settled after {rounds} rounds")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import brands, factors, hierarchy, linkage, places
+from termloom.operators import brands, factors, graph, hierarchy, linkage, places
 
 
 def test_places_by_priority_place_and_length(spark):
@@ -173,3 +173,34 @@ def test_factors_equal_a_numpy_version_and_the_loss_falls(spark):
     names = {r.topic: r.name for r in factors.topic_names(got_h).collect()}
     assert all(names[k] == " + ".join(terms[j] for j in np.argsort(-h[k], kind="stable")[:3]) for k in names)
     assert factors.factorise(cells.limit(0), 3, 2)[0].count() == 0
+
+
+def test_forest_of_rounds_with_ties_equals_kruskal(spark):
+    """Several rounds with equal distances; edges between the same two parts are reduced to the least."""
+    rng = random.Random(12)
+    edges = [(a, b, float(rng.randrange(1, 4))) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.1] + [(100, 101, 2.0)]
+    root = {n: n for e in edges for n in e[:2]}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    want = set()
+    for a, b, h in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b, h))
+    assert {tuple(r) for r in linkage.spanning_forest(spark.createDataFrame(edges, "src long, dst long, distance double")).collect()} == want
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], graph.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(graph, "checkpointed", seen)
+    got = graph.components(spark.createDataFrame([(1, 2), (3, 2), (8, 9)], "src long, dst long")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)} and not any("Broadcast" in p for p in plans)
