@@ -84,6 +84,19 @@ def test_louvain_is_as_good_as_a_sequential_one(spark):
         assert facts[c].size == len(own) and abs(facts[c].inside - sum(e[2] for e in inner)) < 1e-9 and abs(facts[c].density - 2 * len(inner) / (len(own) * (len(own) - 1))) < 1e-9
 
 
+def test_a_louvain_round_groups_edges_once(spark):
+    """By node and community, with the node's own community among them; degrees that are known give the same modularity."""
+    edges = communities.adjacency(spark.createDataFrame(planted(3, 6, 0.7, 0.1, 5), "src long, dst long, weight double"))
+    links = spark.createDataFrame(edges.collect(), "src long, dst long, w double")
+    degrees = links.groupBy(links.src.alias("node")).agg({"w": "sum"}).toDF("node", "k").selectExpr("node", "node div 6 * 6 AS community", "k").collect()
+    labels = spark.createDataFrame(degrees, "node long, community long, k double")
+    total = links.agg({"w": "sum"}).first()[0]
+    moved = communities._moved(links, labels, total, 1.0, 0, 1)
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
+    assert abs(communities.modularity(links, labels) - communities.modularity(links, labels.drop("k"))) < 1e-12
+    assert {r.node for r in moved.collect()} == {r.node for r in labels.collect()}
+
+
 def test_louvain_of_small_graphs(spark):
     two = [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4), (9, 9), (None, 3)]
     got = {r.node: r.community for r in communities.louvain(spark.createDataFrame(two, "src long, dst long")).collect()}
