@@ -7,11 +7,12 @@ compared.
 1. Within each bucket every class is compared with the bucket's centre alone (one candidate a row). Candidates pass the
    screen and then a check on the full sets. The links found give components.
 2. What is left are pairs of one bucket without its centre and in different components, so at least one of the two is
-   outside the bucket's largest component. Only such rows visit the bucket's blocks, which split it over tasks; all others stay at home, so
-   a large group that is connected but for a few rows is not repeated. Rows meet by mark; those with a near partner
-   meet again with their full sets, and each block returns the links that connect its components (fewer than its rows).
-   So every pair of a bucket is either known to be connected or was compared once, in the first bucket they share; none is
-   given up for its bucket's size.
+   outside the bucket's largest component. A large group has a bucket of nearly the same rows for each of its keys; such buckets
+   are joined into one, in which a row is once (see `_joint`). Only rows outside the largest component visit the bucket's blocks,
+   which split it over tasks; all others stay at home, so a large group that is connected but for a few rows is not repeated.
+   Rows meet by mark; those with a near partner meet again with their full sets, and each block returns the links that connect
+   its components (fewer than its rows). So every pair of a bucket is either known to be connected or was compared once, where
+   the first bucket they share is (again, if one of them is its centre and they meet in another); none is given up for its bucket's size.
 """
 
 from __future__ import annotations
@@ -36,17 +37,20 @@ BLOCK, CHECKED, FEW_IDS = 256, 1024, 500_000
 class Screen(Protocol):
     """What is known of two classes before their full sets are compared. Neither screen may lose a link."""
 
+    #: Whether rows that pass in their block have to meet there once more, for `meet` and `first`.
+    again: bool
+
     def pairs(self, a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """Whether classes of marks a[k] and b[k] may be linked, for every k."""
 
-    def block(self, marks: list[bytes], n: np.ndarray, here: int) -> Callable[[int, np.ndarray], np.ndarray]:
-        """A function (k, rows) that keeps the rows of a block of bucket `here` that may be linked with row k."""
+    def block(self, marks: list[bytes], n: np.ndarray, here: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+        """A function (k, rows) that keeps the rows of a block that may be linked with row k; here[k]: its keys of the block's buckets."""
 
     def meet(self, a: bytes, b: bytes) -> bool:
         """Whether two that passed may still be linked, by `more` of both."""
 
-    def first(self, a: np.ndarray, b: np.ndarray, here: int) -> bool:
-        """Whether `here` is the first bucket that both are in, by the keys of both (True where block has seen to that)."""
+    def first(self, a: np.ndarray, b: np.ndarray, here: np.ndarray) -> bool:
+        """Whether the first bucket that both are in, by the keys of both, is one of `here` (True where block has seen to that)."""
 
 
 def _screened(screen: Screen):
@@ -92,14 +96,14 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int,
 
 
 def _partners(rows: list[tuple], percent: int, screen: Screen) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row k of a block (key, i, j, id, comp, n, side, mark), the later rows that may be linked with it: another
+    """For each row k of a block (key, i, j, id, comp, n, side, mark, here), the later rows that may be linked with it: another
     component, sizes that allow it, and marks that pass. side: 0 at
     home and in the bucket's largest component, 1 at home and in another, 2 visiting. Rows at home meet visitors; two
     that are both outside the largest component meet where the one with the lesser id is at home. In a bucket of one block
     nobody visits: all have side 3 and meet."""
     comp, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
     side, ids = np.array([r[6] for r in rows]), np.array([r[3] for r in rows])
-    passing = screen.block([r[7] for r in rows], n, rows[0][0])
+    passing = screen.block([r[7] for r in rows], n, [r[8] for r in rows])
     for k in range(len(rows) - 1):
         other, later = side[k + 1 :], ids[k + 1 :]
         ok = (comp[k + 1 :] != comp[k]) & ((side[k] == 3) | ((other == 2) != (side[k] == 2)))
@@ -123,10 +127,10 @@ def _with_partner(percent: int, screen: Screen, first: bool = False):
         for _, rows in _groups(batches, 3):
             found: set[int] = set()
             for k, at in _partners(rows, percent, screen):
-                near = [x for x in at.tolist() if not first or (screen.first(rows[k][9], rows[x][9], rows[k][0]) and screen.meet(rows[k][8], rows[x][8]))]
+                near = [x for x in at.tolist() if not first or (screen.first(rows[k][10], rows[x][10], rows[k][8]) and screen.meet(rows[k][9], rows[x][9]))]
                 found.update([k, *near] if near else [])
             if found:
-                yield pa.RecordBatch.from_pydict({name: [rows[x][c] for x in sorted(found)] for name, c in (("key", 0), ("i", 1), ("j", 2), ("id", 3), ("comp", 4), ("side", 6))})
+                yield pa.RecordBatch.from_pydict({name: [rows[x][c] for x in sorted(found)] for name, c in (("key", 0), ("i", 1), ("j", 2), ("id", 3), ("comp", 4), ("side", 6), ("here", 8))})
 
     return run
 
@@ -148,10 +152,10 @@ def _linked(percent: int, screen: Screen):
             for k, at in _partners(rows, percent, screen):
                 for x in at.tolist():
                     one, two = root(rows[k][4]), root(rows[x][4])
-                    if one == two or not screen.first(rows[k][9], rows[x][9], rows[k][0]) or not screen.meet(rows[k][8], rows[x][8]):
+                    if one == two or not screen.first(rows[k][10], rows[x][10], rows[k][8]) or not screen.meet(rows[k][9], rows[x][9]):
                         continue
-                    common = len(np.intersect1d(rows[k][10], rows[x][10], assume_unique=True))
-                    if 100 * common >= percent * (len(rows[k][10]) + len(rows[x][10]) - common):
+                    common = len(np.intersect1d(rows[k][11], rows[x][11], assume_unique=True))
+                    if 100 * common >= percent * (len(rows[k][11]) + len(rows[x][11]) - common):
                         parent[one] = two
                         found.append((rows[k][3], rows[x][3]))
             if found:
@@ -214,6 +218,24 @@ def _meeting(screen: Screen):
     return run
 
 
+def _joint(placed: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(id, comp, minor, key, rows, minors, here) of the rows (key, id, comp) of the buckets mixed(key, major, rows, minors), a written table.
+
+    Buckets of one largest component and about one size become one, called by the least of their keys, unless that would have
+    more pairs to compare than they have together. `here` has the keys of those buckets that the row is in: two rows are of
+    one bucket only if they share a key."""
+    levels = mixed.withColumn("level", F.floor(F.log2("rows")))
+    members = placed.join(levels, "key").groupBy("major", "level", "id").agg(F.min("comp").alias("comp"), F.collect_list(F.struct("key", "rows", "minors")).alias("own"))
+    members = materialise(members.withColumn("minor", F.col("comp") != F.col("major")), "members")
+    together = members.groupBy("major", "level").agg(F.count("*").alias("rows"), F.sum(F.col("minor").cast("long")).alias("minors"))
+    apart = levels.groupBy("major", "level").agg(F.min("key").alias("key"), F.sum(F.col("rows").cast("double") * F.col("minors")).alias("pairs"))
+    joint = together.join(apart, ["major", "level"]).where(F.col("rows").cast("double") * F.col("minors") <= F.col("pairs"))
+    joint = materialise(joint.select("major", "level", F.struct("key", "rows", "minors").alias("all")), "joint")
+    one = F.array(F.struct("all.key", "all.rows", "all.minors", F.col("own.key").alias("here")))
+    each = F.transform("own", lambda b: F.struct(b["key"].alias("key"), b["rows"].alias("rows"), b["minors"].alias("minors"), F.array(b["key"]).alias("here")))
+    return members.join(joint, ["major", "level"], "left").select("id", "comp", "minor", F.inline(F.when(F.col("all").isNotNull(), one).otherwise(each)))
+
+
 def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent: int, screen: Screen, block: int | None = None) -> DataFrame:
     """(node, component) of the classes (id, n, rank, mark, more, keys) that are linked with another one. docs(id, text) has the
     texts of their ids; block: rows of a block, BLOCK by default. A bucket's centre is its class of the highest rank, of equals the one of the least id."""
@@ -241,20 +263,23 @@ def linked_components(classes: DataFrame, docs: DataFrame, width: int, percent:
     mixed = materialise(sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), (F.sum("c") - F.max("c")).alias("minors"), F.sum("c").alias("rows")).where("minors > 0"), "mixed")
     homes, visits = (F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int") for c in ("rows", "minors"))
     home, visit = (F.pmod(F.xxhash64("id"), n).cast("int") for n in (homes, visits))
-    minor = F.col("comp") != F.col("major")
+    minor = F.col("minor")
     at_home = F.transform(F.sequence(F.lit(0), visits - 1), lambda j: F.struct(home.alias("i"), j.alias("j"), minor.cast("int").alias("side")))
     visiting = F.transform(F.sequence(F.lit(0), homes - 1), lambda i: F.struct(i.alias("i"), visit.alias("j"), F.lit(2).alias("side")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("side")))
     marks = classes.select("id", "n", "mark")
-    spread = placed.join(mixed, "key").select("key", "id", "comp", F.explode(F.when(F.col("rows") <= block, alone).when(minor, F.concat(at_home, visiting)).otherwise(at_home)).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side")
-    columns = ["key", "i", "j", "id", "comp", "n", "side", "mark"]
+    dealt = F.when(F.col("rows") <= block, alone).when(minor, F.concat(at_home, visiting)).otherwise(at_home)
+    spread = _joint(placed, mixed).select("key", "id", "comp", "here", F.explode(dealt).alias("b")).select("key", "b.i", "b.j", "id", "comp", "b.side", "here")
+    columns, schema = ["key", "i", "j", "id", "comp", "n", "side", "mark", "here"], "key long, i long, j long, id long, comp long, side long, here array<long>"
     ordered = spread.join(marks, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    late = materialise(ordered.mapInArrow(_with_partner(percent, screen), "key long, i long, j long, id long, comp long, side long"), "late")
+    late = materialise(ordered.mapInArrow(_with_partner(percent, screen), schema), "late")
     held = _only(classes.select("id", "n", "mark", "more", "keys"), materialise(late.select("id").distinct(), "ids"))
     columns += ["more", "keys"]
-    ordered = late.join(held, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    late = materialise(ordered.mapInArrow(_with_partner(percent, screen, True), "key long, i long, j long, id long, comp long, side long"), "first")
+    if screen.again:
+        ordered = late.join(held, "id").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        late = materialise(ordered.mapInArrow(_with_partner(percent, screen, True), schema), "first")
     sets = _sets_of(materialise(late.select("id").distinct(), "ids"), docs, width)
-    again = late.join(held, "id").join(sets, "id").select(*columns, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    held = materialise(sets.join(held, "id"), "held")
+    again = late.join(held, "id").select(*columns, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = materialise(again.mapInArrow(_linked(percent, screen), "a long, b long"), "more")
     return materialise(connected_components(links.unionByName(more)), "final")

@@ -29,6 +29,8 @@ from .meetings import linked_components
 from .shingles import mix, shingle_set, signature, universal
 
 MINIMA, LOSS, MOST_ROWS = 200, 1e-6, 20
+#: Rows of a bucket that one block compares with another.
+BLOCK = 1024
 
 
 def banding(percent: int) -> tuple[int, int, float]:
@@ -73,6 +75,8 @@ def _sketches(width: int, bands: int, rows: int):
 class _Signatures:
     """Screen by the share of equal bytes of two signatures. A mark is the signature, then the keys of the bands."""
 
+    again = False  # block sees to the first bucket, and there is no second screen
+
     def __init__(self, least: float):
         self.least = least
 
@@ -89,7 +93,10 @@ class _Signatures:
 
         def passing(k, at):
             at = at[(table[at] == table[k]).mean(axis=1) >= self.least]
-            return at[keys[k][(keys[at] == keys[k]).argmax(axis=1)] == here] if len(at) else at
+            if not len(at):
+                return at
+            same = keys[at] == keys[k]
+            return at[same.any(axis=1) & np.isin(keys[k][same.argmax(axis=1)], here[k])]
 
         return passing
 
@@ -121,7 +128,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known.groupBy("n", "digest").agg(F.min_by(F.struct("sig", "keys"), "id").alias("s"), F.min("id").alias("id")).select("n", "digest", "id", F.lit(0).alias("rank"), F.col("s.sig").alias("mark"), F.lit(b"").alias("more"), "s.keys"),
         "classes",
     )
-    final = linked_components(classes, own, width, percent, _Signatures(screen), 1024)
+    final = linked_components(classes, own, width, percent, _Signatures(screen), BLOCK)
 
     answer = materialise(
         classes.select("n", "digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component_id")),

@@ -127,6 +127,8 @@ class _Orders:
     """Screens: first the parity maps, which differ in no more places than the sets do, then the prefixes of the further orders. `more` has
     these, 4 bytes an element: two that agree in them pass for one, which lets a pair through and loses none."""
 
+    again = True
+
     def __init__(self, percent: int):
         self.percent = percent
 
@@ -174,7 +176,8 @@ class _Orders:
 
     @staticmethod
     def first(a, b, here):
-        return int(np.intersect1d(a, b, assume_unique=True)[0]) == here
+        common = np.intersect1d(a, b, assume_unique=True)
+        return len(common) > 0 and bool((here == common[0]).any())
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -109,6 +109,33 @@ def test_no_link_is_lost_at_the_threshold(spark):
     assert got == part and 60 < sum(part[2 * k + 1] == 2 * k for k in range(200)) < 190
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_a_row_is_once_in_the_buckets_of_a_group(spark, monkeypatch, block):
+    """Near copies, and rows that share bands with them but are linked with none of them: these meet once and not for each band."""
+    rng, base = random.Random(11), [f"w{k}" for k in range(60)]
+
+    def changed(words, name, count):
+        at = rng.sample(range(1, 59, 2), count)
+        return [f"{name}x{k}" if k in at else w for k, w in enumerate(words)]
+
+    rows = {0: base} | {i: changed(base, i, rng.choice([1, 2])) for i in range(1, 100)} | {i: changed(base, i, 4) for i in range(100, 150)}
+    rows |= {i + 100: changed(rows[i], i + 100, 1) for i in range(100, 110)}
+    counted, write = [], meetings.materialise
+
+    def spied(df, tag, *rest):
+        out = write(df, tag, *rest)
+        if tag == "late":
+            counted.append((out.count(), out.select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(meetings, "materialise", spied)
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(frame(spark, [(i, " ".join(w)) for i, w in rows.items()]), width=2, percent=80).collect()}
+    assert got == components({i: shingles(" ".join(w), 2) for i, w in rows.items()}, 80)
+    (met, ids), = counted
+    assert ids > 100 and (block == 16 or met <= 3 * ids)
+
+
 def test_orders_share_a_prefix_element():
     for n in range(1, 200):
         for percent in (1, 50, 85, 100):
