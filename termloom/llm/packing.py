@@ -10,11 +10,13 @@ task, plus what earlier tasks have.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,9 @@ from .common import materialise
 
 #: Patterns kept for each leading length, those of the most frequent partners; passes of the least-squares fit.
 COLUMNS, PASSES = 16, 20
-#: Bytes of text whose words are looked up together, and words that the library gets as one text.
-RUN, JOINED = 4_000_000, 64
+#: Bytes of text whose words are looked up together (a worker's memory grows with them), and words that the library gets as
+#: one text.
+RUN, JOINED = 1_000_000, 64
 #: Words whose ids a worker remembers, and the longest that it does: some 10 MB.
 REMEMBERED, LONGEST = 200_000, 24
 #: White space to any of the libraries: the Unicode property and the separators 1C to 1F.
@@ -260,6 +263,13 @@ def _numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
+def _release() -> None:
+    """Returns freed memory to the system, since the worker lives on between tasks and keeps it through other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, TypeError, AttributeError):  # elsewhere than with glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _pieces(tokenizer_path: str, size: int, end: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, special_as_text)
@@ -282,7 +292,7 @@ def _pieces(tokenizer_path: str, size: int, end: int, special_as_text: bool):
                 length = stop - start
                 arrays = [docs.take(pa.array(at + np.repeat(order, cuts))), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(_numbered(length, seen)), pa.array(np.full(len(crc), part), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
-        pa.default_memory_pool().release_unused()  # the worker lives on between tasks
+        _release()
 
     return run
 

@@ -223,7 +223,8 @@ def _begun(rare: DataFrame, prefixes: list[str]) -> dict:
     model. There are TERMS prefixes at most, so the broadcast and the result are bounded."""
     if not prefixes:
         return {}
-    known = rare.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    # An Arrow table, not a list: rows from a list are unpickled by workers of a second kind, with a daemon that stays.
+    known = rare.sparkSession.createDataFrame(pa.table({"prefix": pa.array(prefixes, pa.string())}))
     each = rare.select("word", "t0", "t1", F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in _PREFIXES])).alias("prefix"))
     longest = each.join(F.broadcast(known), "prefix").groupBy("word", "t0", "t1").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
     return {r["prefix"]: r for r in longest.groupBy("prefix").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).collect()}

@@ -2,10 +2,13 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -128,6 +131,16 @@ def test_maximal_segments_equal_brute_force():
         assert [(round(s, 6), a, b) for s, a, b in toxicity.segments(hits, -0.7301)] == find(0, n)
 
 
+def test_toxicity_fit_starts_no_second_kind_of_worker(spark, monkeypatch):
+    """Prefixes reach Spark without an RDD, whose rows another daemon's workers would read; sums as of the longest prefix."""
+    rare = spark.createDataFrame([("abcdefg", 1, 2), ("abcdxyz", 3, 5), ("abcd", 7, 9), ("other", 4, 4)], "word string, t0 long, t1 long").cache()
+    rare.count()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    got = toxicity._begun(rare, ["abcd", "abcdef"])
+    assert {k: (r["t0"], r["t1"]) for k, r in got.items()} == {"abcdef": (1, 2), "abcd": (3, 5)}
+    assert toxicity._begun(rare, []) == {}
+
+
 def test_toxicity_held_out_accuracy(spark):
     from pyspark.sql import functions as F
 
@@ -162,6 +175,24 @@ def test_bpe_with_a_full_memory(monkeypatch):
     assert len(pieces) == 2
 
 
+def test_packing_holds_little_at_a_time(monkeypatch):
+    """8 MB of words that the memory doesn't know, in one batch as Spark hands it over: what Python and NumPy hold at most.
+    With runs of 4 MB it was 65 MB, with 1 MB it is 20."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 9, 60_000)])
+    texts = [" ".join(rng.choice(words, 1_200)) for _ in range(1_000)]
+    assert sum(map(len, texts)) > 7_500_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    run = packing._pieces(P.path("byte_bpe_50k.json"), 2048, 0, False)
+    packing._encoder(P.path("byte_bpe_50k.json"), False)
+    tracemalloc.start()
+    pieces = sum(out.num_rows for out in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces >= len(texts) and most < 40e6
+
+
 @pytest.mark.parametrize("remembered", [3, packing.REMEMBERED])
 def test_packing_is_whole_and_tight(spark, monkeypatch, remembered):
     monkeypatch.setattr(packing, "REMEMBERED", remembered)
