@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that a task takes into account at a time, and so the most that a last task settles by itself.
+CHUNK = 1_000_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once to the folder that executors share (spark.checkpoint.dir; one of our own in local mode) and read back: lineage
@@ -23,11 +29,65 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forest_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of edges in their order, the best first: places of those in the spanning forest; the nodes in order, and the least node of each one's part."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    u, v = ends[: len(x)], ends[len(x) :]
+    every, label, left, chosen = np.arange(len(nodes)), np.arange(len(nodes)), np.arange(len(x)), np.zeros(len(x), bool)
+    while True:
+        p, q = label[u[left]], label[v[left]]
+        apart = p != q
+        left, p, q = left[apart], p[apart], q[apart]
+        if not len(left):
+            break
+        best = np.full(len(nodes), len(x))
+        np.minimum.at(best, p, left)
+        np.minimum.at(best, q, left)
+        parts = np.flatnonzero(best < len(x))
+        edge = best[parts]
+        chosen[edge] = True
+        one, two = label[u[edge]], label[v[edge]]
+        to = every.copy()
+        to[parts] = np.where(one == parts, two, one)
+        # Edges have an order, so parts go round in pairs alone.
+        to = np.where((to[to] == every) & (every < to), every, to)
+        while (to != to[to]).any():
+            to = to[to]
+        label = to[label]
+    least = np.full(len(nodes), len(nodes))
+    np.minimum.at(least, label, every)
+    return np.flatnonzero(chosen), nodes, nodes[least[label]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (src, dst) to (src, dst) with every node once a chunk, linked with the least node that the chunk's edges lead to."""
+    held, size = [], 0
+
+    def settled() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        _, nodes, least = forest_of(*(c.to_numpy() for c in table.columns))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((nodes, least), table.schema, strict=True)], names=["src", "dst"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield settled()
+            held, size = [], 0
+    if size:
+        yield settled()
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """edges(src, dst) to (node, component): the least node of each connected part. Each round takes the least label
-    around a node and then that label's own label, so long paths shrink fast. Labels are merged, never broadcast, so nothing that grows
-    with the nodes passes through the driver."""
-    # Both ways by one pass over edges, which may be a whole join that isn't written yet.
+    """edges(src, dst) to (node, component): the least node of each connected part. Tasks first put the stars of chunks of edges in their
+    place; when these are CHUNK at most, one task joins them, else rounds do. Each round takes the least label around a node and then that
+    label's own label, so long paths shrink fast. Labels are merged, never broadcast, so nothing that grows with the nodes passes through
+    the driver. Edges with a null end are left out."""
+    # One pass over edges, which may be a whole join that isn't written yet.
+    own = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    edges = checkpointed(own.mapInArrow(_stars, own.schema))
+    if edges.count() <= CHUNK:
+        return checkpointed(edges.coalesce(1).mapInArrow(_stars, own.schema).toDF("node", "component"))
     ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
     both = checkpointed(edges.select(ways).select("e.src", "e.dst").distinct())
     labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))

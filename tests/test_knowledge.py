@@ -204,3 +204,35 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     monkeypatch.setattr(graph, "checkpointed", seen)
     got = graph.components(spark.createDataFrame([(1, 2), (3, 2), (8, 9)], "src long, dst long")).collect()
     assert {tuple(r) for r in got} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)} and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("chunk", [8, 40, 1_000_000])
+def test_forest_and_levels_by_chunks_equal_kruskal(spark, monkeypatch, chunk):
+    """Long paths with ties, parallel edges and other nodes: whatever a task may hold, the forest is the same and so are the levels."""
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    rng = random.Random(7)
+    edges = [(n, n + 1, float(rng.randrange(1, 4))) for n in range(90) if n != 50] + [(n, rng.randrange(91), 5.0) for n in range(20)] + [(4, 3, 0.5), (7, 7, 0.0), (None, 1, 0.0), (1, 2, None)]
+    edges = [(a, b, h) for a, b, h in edges if None in (a, h) or (a <= 50) == (b <= 50)]
+    frame = spark.createDataFrame(edges, "src long, dst long, distance double").repartition(3)
+    forest = linkage.spanning_forest(frame)
+    root, want = {n: n for n in range(91)}, []
+    for h, a, b in sorted((h, min(a, b), max(a, b)) for a, b, h in edges if a is not None and h is not None and a != b):
+        if root[a] != root[b]:
+            want.append((a, b, h))
+            root = {n: min(root[a], root[b]) if c in (root[a], root[b]) else c for n, c in root.items()}
+    assert sorted(map(tuple, forest.collect())) == sorted(want)
+    nodes = spark.createDataFrame([(n,) for n in range(5, 95)], "node long")
+    levels = {r.node: r for r in linkage.multilevel(forest, nodes, (2, 9, 20)).collect()}
+    assert len(levels) == 90
+    for n in (2, 9, 20):
+        assert {k: r[f"level_{n}"] for k, r in levels.items()} == {r.node: r.cluster for r in linkage.cut(forest, nodes, n).collect()}
+
+
+def test_a_long_path_takes_few_tables(spark, monkeypatch):
+    """The forest and three levels of a path of 3,000 nodes, which rounds alone would shrink in many steps."""
+    written, write = [], graph.checkpointed
+    for module in (graph, linkage):
+        monkeypatch.setattr(module, "checkpointed", lambda df: written.append(1) or write(df))
+    edges = spark.range(3000).selectExpr("id AS src", "id + 1 AS dst", "CAST(id % 97 AS DOUBLE) AS distance")
+    levels = linkage.multilevel(linkage.spanning_forest(edges), spark.range(3001).toDF("node"))
+    assert levels.agg({"level_30": "max"}).first()[0] > 0 and len(written) <= 8
