@@ -14,9 +14,9 @@ from . import graph
 from .graph import checkpointed, components, forest_of
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forests(chunk: int):
     """Edges (x, y, height, a, b) without those that close a circle of lesser ones in this task: these are in no forest of the whole either. At
-    most graph.CHUNK and a batch are held."""
+    most a chunk and a batch are held."""
 
     def least(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
@@ -24,18 +24,21 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((b, a, height))
         return table.take(order[forest_of(x[order], y[order])[0]]).combine_chunks().to_batches()
 
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= graph.CHUNK:
-            held = least(held)
-            size = sum(h.num_rows for h in held)
-            if 2 * size > graph.CHUNK:
-                yield from held
-                held, size = [], 0
-    if size:
-        yield from least(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > chunk:
+                held = least(held)
+                size = sum(h.num_rows for h in held)
+                if 2 * size > chunk:
+                    yield from held
+                    held, size = [], 0
+        if size:
+            yield from least(held)
+
+    return run
 
 
 def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -46,11 +49,11 @@ def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
     halve in number. Loops, null ends and null distances are no edges; of parallel ones the least counts."""
     own = edges.where("src <> dst and distance is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("distance").cast("double").alias("height"))
     own = own.select(F.col("a").alias("x"), F.col("b").alias("y"), "height", "a", "b")
-    rounds_taken, left = [], checkpointed(own.mapInArrow(_forests, own.schema))
+    rounds_taken, left = [], checkpointed(own.mapInArrow(_forests(graph.CHUNK), own.schema))
     for _ in range(rounds):
         count, before = left.count(), None
         while before is None or graph.CHUNK < count <= before / 2:
-            before, left = count, checkpointed(left.coalesce(max(1, -(-count // graph.CHUNK))).mapInArrow(_forests, own.schema))
+            before, left = count, checkpointed(left.coalesce(max(1, -(-count // graph.CHUNK))).mapInArrow(_forests(graph.CHUNK), own.schema))
             if before <= graph.CHUNK:
                 return checkpointed(reduce(DataFrame.unionByName, [*rounds_taken, left.select("a", "b", "height")]))
             count = left.count()

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__
-from termloom.operators import cluster, communities, fulllink, wordmatch
+from termloom.operators import cluster, communities, fulllink, graph, wordmatch
 from termloom.plans import catalogue
 from termloom.plans.roles import role
 
@@ -226,3 +226,25 @@ def test_shared_url_pairs_by_prefix_equal_brute_force(spark):
         got = {(r.q1, r.q2): r.common for r in cluster.shared_url_pairs(spark.createDataFrame(serp + serp[:9], "q long, u long"), threshold).collect()}
         want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold}
         assert got == want
+
+
+@pytest.mark.parametrize("chunk", [200, 35])
+def test_louvain_by_blocks_is_louvain_of_one_task(spark, monkeypatch, chunk):
+    """The same communities whether one task holds the graph, or tasks hold blocks of its links; with more nodes than a task may hold, they are as good."""
+    edges = planted(4, 10, 0.6, 0.05, 3) + [(60, 60, 1.0)]
+    frame = spark.createDataFrame(edges, "src long, dst long, weight double")
+    want = {r.node: r.community for r in communities.louvain(frame, cycles=1).collect()}
+    used, real = [], communities._settled_by_blocks
+    monkeypatch.setattr(communities, "_settled_by_blocks", lambda *a: used.append(1) or real(*a))
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    got = {r.node: r.community for r in communities.louvain(frame, cycles=1).collect()}
+    assert bool(used) == (chunk == 200) and got.keys() == want.keys() and all(got[c] == c for c in got.values()) and got[60] == 60
+    assert got == want if used else modularity(edges, got) >= 0.95 * modularity(edges, want)
+
+
+def test_louvain_of_a_small_graph_takes_few_tables(spark, monkeypatch):
+    written, write = [], communities.checkpointed
+    monkeypatch.setattr(communities, "checkpointed", lambda df: written.append(1) or write(df))
+    edges = planted(4, 10, 0.6, 0.05, 3)
+    got = communities.louvain(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    assert got.count() == 40 and len(written) <= 6
